@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, pii, token_counts, url_filter
+from millrace.llm import bpe, pii, secret_scan, token_counts, url_filter
 
 #: The rules and the listed hosts of ``op1_url_filter``.
 RULES = [
@@ -35,6 +35,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES, BLOCKED_HOSTS)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
@@ -50,6 +54,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op6_secrets": op6_secrets,
         "op8_bpe": op8_bpe,
         "op9_token_counts": op9_token_counts,
         "op10_pii": op10_pii,
@@ -79,5 +84,33 @@ from j
 """
 
 
+def _op6_sql() -> str:
+    """Places as sums of lengths of the pieces between matches, as in the operator."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    kinds, spans = [], []
+    for n, k in enumerate(secret_scan.KINDS):
+        p = q(k.pattern)
+        kinds.append(f"regexp_extract_all(t, {p}, 0) as m{n}, regexp_extract_all(t, {p}, {k.group}) as v{n}, string_split_regex(t, {p}) as b{n}")
+        upto = f"list_sum(list_transform(b{n}[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m{n}[:i - 1], lambda x: length(x))), 0)"
+        spans.append(f"list_filter(list_transform(range(1, len(m{n}) + 1), lambda i: {{'start': {upto}, 'ord': {n}, 'size': length(m{n}[i]), 'kind': '{k.name}', 'value': v{n}[i]}}), lambda x: length(x.value) >= {k.least})")
+    show = lambda a: f"list_aggregate(list_transform({a}, lambda x: x.kind || ':' || x.start::bigint || ':' || (x.start + x.size)::bigint), 'string_agg', ',')"
+    every = " || ".join(spans)
+    base = f"list_filter(s, lambda x: x.ord < {len(secret_scan.BASE)})"
+    counts = ", ".join(f"len(list_filter(s, lambda x: x.kind = '{k.name}'))::bigint as n_{k.name}" for k in secret_scan.BASE)
+    return f"""
+with d as (select row_number() over () as rn, doc_id, source, coalesce(text, '') as t from documents),
+m as (select rn, doc_id, source, {", ".join(kinds)} from d),
+f as (select rn, doc_id, source, list_sort({every}) as s from m),
+e as (select rn, doc_id, source, unnest(list_transform(s, lambda x: x.value)) as value from f),
+o as (select value, count(distinct coalesce(source, '')) as owners from e group by 1),
+w as (select rn, count(*) filter (where owners >= {secret_scan.WIDE_OWNERS} or regexp_matches(lower(value), {q(secret_scan.PLACEHOLDER)})) as n_shared,
+             count(*) filter (where not (owners >= {secret_scan.WIDE_OWNERS} or regexp_matches(lower(value), {q(secret_scan.PLACEHOLDER)}))) as n_owner_specific
+      from e join o using (value) group by 1)
+select doc_id, {counts}, sha256(coalesce({show(base)}, '')) as base_sha256, coalesce({show("s")}, '') as spans,
+       coalesce(n_shared, 0)::bigint as n_shared, coalesce(n_owner_specific, 0)::bigint as n_owner_specific
+from f left join w using (rn)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1_SQL}
+    return {"op1_url_filter": _OP1_SQL, "op6_secrets": _op6_sql()}
