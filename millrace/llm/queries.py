@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, pii, secret_scan, token_counts, url_filter
+from millrace.llm import bpe, embedding_dedup, pii, secret_scan, token_counts, url_filter
 
 #: The rules and the listed hosts of ``op1_url_filter``.
 RULES = [
@@ -39,6 +39,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op6_secrets": op6_secrets,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_bpe": op8_bpe,
         "op9_token_counts": op9_token_counts,
         "op10_pii": op10_pii,
@@ -112,5 +117,23 @@ from f left join w using (rn)
 """
 
 
+#: Every pair of equal label, and components by reachability.
+_OP7_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e, row_number() over () as rn from embeddings
+), ok as (
+  select * from v where label is not null and vec_id is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+), l as (
+  select a.rn, a.vec_id, b.rn as rn2, b.vec_id as other from ok a join ok b on a.label = b.label and a.rn <> b.rn and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(vec_id, to_id) as (
+  select vec_id, other from l union select r.vec_id, l.other from reach r join l on l.vec_id = r.to_id
+), c as (select vec_id, min(to_id) as least from reach group by 1),
+n as (select rn, count(*) as n_links from l group by 1)
+select v.vec_id, coalesce(n.n_links, 0)::bigint as n_links, least(v.vec_id, coalesce(c.least, v.vec_id)) as component_id, v.vec_id = least(v.vec_id, coalesce(c.least, v.vec_id)) as kept
+from v left join n on n.rn = v.rn left join c on c.vec_id = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1_SQL, "op6_secrets": _op6_sql()}
+    return {"op1_url_filter": _OP1_SQL, "op6_secrets": _op6_sql(), "op7_embedding_dedup": _OP7_SQL}
