@@ -36,7 +36,7 @@ from millrace.llm.ship import ship
 #: Fixed value: the published pre-tokenization pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose encodings a worker remembers; the memo is emptied when full.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 700_000
 #: Texts of about so many characters are pre-tokenized together.
 GROUP_CHARS = 1 << 19
 
@@ -70,16 +70,14 @@ class Vocabulary:
                 self.parts[made] = (left, right)
                 self.rank[made] = r
         self.longest = max(map(len, self.ids))
-        self._may: dict[tuple[int, int], bool] = {}
+        self.allowed: dict[int, bool] = {}
 
-    def may_follow(self, a: int, b: int) -> bool:
-        """True iff BPE can leave ``a`` and ``b`` side by side."""
-        known = self._may.get((a, b))
-        if known is None:
-            if len(self._may) > 2_000_000:
-                self._may.clear()
-            known = self._may[a, b] = self._unmerge(a, b)
-        return known
+    def may_follow(self, pair: int) -> bool:
+        """True iff BPE can leave the tokens ``pair >> 20`` and ``pair & 0xFFFFF`` side by side."""
+        if len(self.allowed) > 1_000_000:
+            self.allowed.clear()
+        out = self.allowed[pair] = self._unmerge(pair >> 20, pair & 0xFFFFF)
+        return out
 
     def _unmerge(self, left: int, right: int) -> bool:
         # ``bound``: merges of this rank or later had not happened when the current pair stood at the cut.
@@ -116,7 +114,8 @@ class Encoder:
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
             new = words
-        ids, longest, may = self.vocab.ids, self.vocab.longest, self.vocab.may_follow
+        find, longest = self.vocab.ids.get, self.vocab.longest
+        known, ask = self.vocab.allowed.get, self.vocab.may_follow
         coded = sorted((w.encode("utf-8"), w) for w in new)
         before = b""
         state: list[tuple[int, int]] = [(-1, 0)]  # for each prefix: its last token and where that token starts
@@ -126,11 +125,20 @@ class Encoder:
                 shared += 1
             del state[shared + 1 :]
             for end in range(shared + 1, len(raw) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(raw[start:end])
-                    if token is not None and (start == 0 or may(state[start][0], token)):
-                        state.append((token, start))
-                        break
+                # Only one token fits, so the order is free; short ones are the likelier.
+                for start in range(end - 1, max(0, end - longest) - 1, -1):
+                    token = find(raw[start:end])
+                    if token is None:
+                        continue
+                    if start:
+                        pair = state[start][0] << 20 | token
+                        fits = known(pair)
+                        if fits is None:
+                            fits = ask(pair)
+                        if not fits:
+                            continue
+                    state.append((token, start))
+                    break
                 else:
                     raise ValueError("the vocabulary does not cover all bytes")
             out: list[int] = []
