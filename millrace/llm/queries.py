@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, embedding_dedup, pii, secret_scan, token_counts, toxicity, url_filter
+from millrace.llm import bpe, decontaminate, embedding_dedup, pii, secret_scan, token_counts, toxicity, url_filter
 
 #: The rules and the listed hosts of ``op1_url_filter``.
 RULES = [
@@ -35,6 +35,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES, BLOCKED_HOSTS)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
         "op6_secrets": op6_secrets,
         "op7_embedding_dedup": op7_embedding_dedup,
