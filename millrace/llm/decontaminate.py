@@ -24,12 +24,12 @@ empty benchmark rejects nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import wordhash
@@ -205,24 +205,25 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
     yield held
 
 
+def _lookup(spark: SparkSession, items: list[tuple[int, str]]) -> Callable[[Column], Column]:
+    """A function that finds one block of items, with the block broadcast (``BLOCK_ITEMS`` and ``BLOCK_BYTES`` bound it)."""
+    shared = spark.sparkContext.broadcast(items)
+
+    @F.pandas_udf("array<struct<item_id:long,share:double,copied:boolean>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = Table(shared.value)
+        for texts in batches:
+            yield pd.Series(find(list(texts), table), dtype=object)
+
+    return run
+
+
 def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", name: str = "contamination") -> DataFrame:
     """``docs`` with a column of the items each holds: array of item_id, share, copied."""
     spark = docs.sparkSession
     ship(spark)
-    kind = "array<struct<item_id:long,share:double,copied:boolean>>"
-    out = docs
-    columns = []
-    for items in _blocks(benchmark, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(items)
-
-        @F.pandas_udf(kind)
-        def run(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:  # noqa: ANN001
-            table = Table(shared.value)
-            for texts in batches:
-                yield pd.Series(find(list(texts), table), dtype=object)
-
-        columns.append(run(F.col(text_col)))
-    return out.withColumn(name, F.concat(*columns))
+    found = [_lookup(spark, items)(F.col(text_col)) for items in _blocks(benchmark, item_col, item_text_col)]
+    return docs.withColumn(name, F.concat(*found))
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, decontaminate, embedding_dedup, pii, secret_scan, token_counts, toxicity, url_filter
+from millrace.llm import bpe, decontaminate, embedding_dedup, order_minhash, pii, secret_scan, token_counts, toxicity, url_filter
 
 #: The rules and the listed hosts of ``op1_url_filter``.
 RULES = [
@@ -43,6 +43,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
+        "op4_order_minhash": op4_order_minhash,
         "op6_secrets": op6_secrets,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_bpe": op8_bpe,
