@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, embedding_dedup, order_minhash, pii, secret_scan, token_counts, toxicity, url_filter
+from millrace.llm import bpe, decontaminate, embedding_dedup, line_dedup, order_minhash, pii, secret_scan, token_counts, toxicity, url_filter
 
 #: The rules and the listed hosts of ``op1_url_filter``.
 RULES = [
@@ -47,6 +48,11 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    thinned = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return thinned.select("doc_id", "n_lines", "n_kept", "n_near", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -73,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
         "op4_order_minhash": op4_order_minhash,
+        "op5_line_dedup": op5_line_dedup,
         "op6_secrets": op6_secrets,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_bpe": op8_bpe,
@@ -150,5 +157,28 @@ from v left join n on n.rn = v.rn left join c on c.vec_id = v.vec_id
 """
 
 
+#: All pairs of distinct long lines of near length, and classes by reachability.
+_OP5_SQL = f"""
+with recursive o as (
+  select doc_id as id, unnest(range(len(string_split(text, chr(10)))))::int as pos, unnest(string_split(text, chr(10))) as line from documents where doc_id is not null and text is not null
+), u as (
+  select distinct line, length(line) as n from o where length(line) >= {line_dedup.MIN_CHARS}
+), l as (
+  select a.line as x, b.line as y from u a join u b on b.n = a.n and a.line <> b.line where (left(a.line, a.n // 2) = left(b.line, a.n // 2) or right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)) and levenshtein(a.line, b.line) <= 1
+  union all
+  select a.line, b.line from u a join u b on b.n = a.n + 1 where (left(a.line, a.n // 2) = left(b.line, a.n // 2) or right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)) and levenshtein(a.line, b.line) <= 1
+), e as (select x, y from l union select y, x from l),
+r(x, z) as (select x, y from e union select r.x, e.y from r join e on e.x = r.z),
+c as (select x as line, least(x, min(z)) as root from r group by x),
+k as (select o.id, o.pos, coalesce(c.root, o.line) as root, c.line is not null as near, o.line from o left join c using (line) where length(o.line) >= {line_dedup.MIN_CHARS}),
+f as (select root, count(distinct id) as docs, min((id, pos)) as first from k group by root),
+g as (select distinct k.id, k.pos from k join f using (root) where f.docs > {line_dedup.MAX_DOCS} and (k.id, k.pos) <> f.first),
+w as (select o.id, o.pos, o.line, length(o.line) < {line_dedup.MIN_CHARS} or row_number() over (partition by o.id, o.line order by o.pos) = 1 as stays from o anti join g on o.id = g.id and o.pos = g.pos),
+t as (select id, count(*) as n_kept, string_agg(line, chr(10) order by pos) as text from w where stays group by id)
+select doc_id, coalesce(len(string_split(text_in, chr(10))), 0)::bigint as n_lines, coalesce(n_kept, 0)::bigint as n_kept, coalesce(n_near, 0)::bigint as n_near, sha256(coalesce(out_text, '')) as text_sha256
+from (select d.doc_id, d.text as text_in, t.n_kept, t.text as out_text, m.n_near from documents d left join t on t.id = d.doc_id left join (select id, count(*) filter (where near) as n_near from k group by id) m on m.id = d.doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1_SQL, "op6_secrets": _op6_sql(), "op7_embedding_dedup": _OP7_SQL}
+    return {"op1_url_filter": _OP1_SQL, "op5_line_dedup": _OP5_SQL, "op6_secrets": _op6_sql(), "op7_embedding_dedup": _OP7_SQL}
