@@ -1,31 +1,39 @@
 """Line dedup by a segment-partition edit join; DataFrame functions only.
 
-Lines within one edit (threshold 1) are linked.  A line of length ``l`` is cut
-into threshold + 1 = 2 segments; one edit leaves one of them whole, so two
-lines of lengths ``l`` and ``l`` or ``l + 1`` agree in the first ``l div 2``
-characters or in the last ``l - l div 2``.  Each line is therefore indexed by
-the hash of (``l``, side, segment) for its own length and probes the index of
-the length below: four keys a line.
-
-A bucket is compared with its smallest line only.  Where that leaves a line
-unlinked, everything but the smallest is cut again: what is still open between
-the agreed beginning and end is halved, and one edit again leaves one half
-whole.  The open part halves with each level, so after at most some twenty
-levels every link is found, without ever forming the pairs of a bucket.
-
-A pair is verified by a banded bit-parallel automaton: for 0 and 1 errors a
-word of three bits, one for each diagonal of the band, advances over the open part.
+Lines within one edit (threshold 1) are linked.  One edit leaves one of
+threshold + 1 = 2 segments whole: of two lines whose lengths are ``2m`` to
+``2m + 2`` and differ by one at most, the first ``m`` or the last ``m``
+characters agree.  Each line is therefore indexed by the hashes of its first
+and last ``m = length div 2`` characters (with ``m`` and the side), and lines of even length
+probe with ``m - 1`` as well, for the lines one character shorter.
+
+A bucket is compared with its hub only, the line of the smallest hash.  Where that leaves
+a line unlinked, everything but the hub is cut again: what is still open
+between the agreed beginning and end is halved, and one edit again leaves one
+half whole.  The open part halves with each level, so after some ten levels
+every link is found, without ever forming the pairs of a bucket.
+
+A pair is verified by narrowing to where it differs (an open half that agrees is dropped,
+``NARROW`` times; if neither agrees the pair is no link) and a banded
+bit-parallel automaton over the rest: for 0 and 1 errors a word of three
+bits, one for each diagonal of the band.
 
 Links are closed to classes.  Lines of at least ``MIN_CHARS`` characters whose
 class occurs in more than ``MAX_DOCS`` documents are boilerplate: only the
 first occurrence (smallest document id, then place) stays.  Within a document
 the exact repeats of such a long line are dropped in any case.
 
-Cases: a null text stays null and has no lines; an empty text has one empty line; shorter lines are
-always kept; a document with a null id takes part only in the repeats within
-itself; rows with the same id count as one document, so they lose the same
-lines; a document never disappears, though its text may become empty; all
-columns of the input are kept; ties go to the smaller id and place.
+What is shuffled is small: hashes of lines and halves (fixed width, combined
+where they are read), and texts only of lines that share a half with another line, and of
+documents that change.  Which those may be is broadcast as a set of at most
+2^``BUCKET_BITS`` hash buckets, whatever the input's size; a bucket that is hit by chance costs a
+row in the shuffle join behind it, no more.
+
+Cases: a null text stays null and has no lines; an empty text has one empty
+line; shorter lines are always kept; a document with a null id takes part
+only in the repeats within itself; rows with the same id count as one document, so
+they lose the same lines; a document never disappears, though its text may
+become empty; all columns of the input are kept; ties go to the smaller id and place.
 """
 
 from __future__ import annotations
@@ -39,6 +47,8 @@ from millrace.llm.ship import shared_folder
 MIN_CHARS = 20
 MAX_DOCS = 6
 MAX_LEVELS = 64
+NARROW = 4
+BUCKET_BITS = 20
 
 
 def _lines(text: Column) -> Column:
@@ -77,75 +87,123 @@ def within_one_edit(x: Column, y: Column) -> Column:
     return F.when((ahead < 0) | (ahead > 2), F.lit(False)).otherwise(F.element_at(F.array(*[F.getbit(end, F.lit(d)) for d in range(3)]), F.greatest(F.least(ahead, F.lit(2)), F.lit(0)) + 1) == 1)
 
 
-def links(lines: DataFrame) -> DataFrame:
-    """(``a``, ``b``): links that connect all lines within one edit. ``lines``: ``h`` (64-bit hash) and ``line``; repeats are allowed."""
-    shared_folder(lines.sparkSession)
+def near(x: Column, y: Column) -> Column:
+    """Whether two open parts are within one edit: narrowed by halves that agree, then run through the automaton."""
+
+    def narrow(s: Column, _: Column) -> Column:
+        a, b = s["x"], s["y"]
+        half = F.floor(F.least(F.length(a), F.length(b)) / 2).cast("int")
+        front = _left(a, half) == _left(b, half)
+        back = _right(a, half) == _right(b, half)
+        rest = lambda t: F.when(front, F.substring(t, half + 1, F.length(t))).when(back, _left(t, F.length(t) - half))
+        return F.struct(rest(a).alias("x"), rest(b).alias("y")).cast("struct<x:string,y:string>")
+
+    start = F.struct(F.when(F.abs(F.length(x) - F.length(y)) <= 1, x).alias("x"), y.alias("y")).cast("struct<x:string,y:string>")
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(NARROW)), start, narrow)
+    return F.get(F.transform(F.array(end), lambda s: F.when(s["x"].isNotNull() & s["y"].isNotNull(), within_one_edit(s["x"], s["y"])).otherwise(F.lit(False))), F.lit(0))
+
+
+def _bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - BUCKET_BITS)
+
+
+def _buckets(ids: DataFrame, name: str, h: Column) -> DataFrame:
+    """The hash buckets of some hashes, for a broadcast: at most 2^BUCKET_BITS rows of one number."""
+    return F.broadcast(ids.select(_bucket(h).alias(name)).distinct())
+
+
+def _long_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(``id``, ``pos``, ``line``, ``h``) of the long lines of documents with an id."""
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
+    return rows.where(F.length("line") >= MIN_CHARS).withColumn("h", F.xxhash64("line"))
+
+
+def indexed(lines: DataFrame) -> DataFrame:
+    """(``id``, ``pos``, ``h``, ``m``, ``keys``): the index and probe keys of each line, without its text."""
     n = F.length("line")
-    keyed = []
-    for down in (0, 1):  # the length of the index: the line's own, or one below
-        size = n - down
-        half = F.expr(f"div(length(line) - {down}, 2)").cast("int")
-        keyed += [F.struct(size.alias("o"), F.lit(0).alias("side"), F.xxhash64(size, F.lit(0), _left(F.col("line"), half)).alias("key")), F.struct(size.alias("o"), F.lit(1).alias("side"), F.xxhash64(size, F.lit(1), _right(F.col("line"), size - half)).alias("key"))]
-    # Hashes only; repeats of a line collapse before they are shuffled.
-    entries = lines.select("h", F.explode(F.array(*keyed)).alias("k")).select("k.key", "h", "k.o", "k.side").distinct()
-    crowded = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    members = entries.join(crowded, "key")
-    # One row a line before the shuffle, however often it occurs.
-    texts = lines.groupBy("h").agg(F.max("line").alias("line"))
+    m = F.floor(n / 2).cast("int")
+    even = n % 2 == 0
+
+    def key(size: Column, side: int) -> Column:
+        part = _left(F.col("line"), size) if side == 0 else _right(F.col("line"), size)
+        return F.xxhash64(size, F.lit(side), part)
+
+    own = [key(m, 0), key(m, 1)]
+    probe = [F.when(even, key(m - 1, s)) for s in (0, 1)]
+    return lines.select("id", "pos", "h", m.alias("m"), F.array(*own, *probe).alias("keys"))
+
+
+def _crowded(entries: DataFrame) -> DataFrame:
+    """(``key``, ``hub``) of keys with more than one line; combined before the shuffle."""
+    return entries.groupBy("key").agg(F.min("h").alias("hub"), F.max("h").alias("top")).where("hub <> top").select("key", "hub")
+
+
+def links(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``a``, ``b``): links between hashes of lines that connect all lines within one edit. ``table``: see ``indexed``."""
+    shared_folder(docs.sparkSession)
+    entries = table.select("h", "id", "m", F.posexplode("keys").alias("slot", "key")).where("key is not null").select("key", "h", "id", (F.col("m") - F.floor(F.col("slot") / 2).cast("int")).alias("m"), (F.col("slot") % 2).cast("int").alias("side"))
+    members = entries.join(_crowded(entries), "key").groupBy("key", "hub", "h", "m", "side").agg(F.min("id").alias("id")).checkpoint()
+    # Texts of these lines only, each from one document that has it.
+    wanted = members.groupBy("h").agg(F.min("id").alias("id"))
+    some = docs.join(_buckets(wanted, "_b", F.xxhash64("id")), _bucket(F.xxhash64(F.col(id_col).cast("long"))) == F.col("_b"), "left_semi")
+    texts = _long_lines(some, id_col, text_col).join(_buckets(wanted, "_c", F.col("h")), _bucket(F.col("h")) == F.col("_c"), "left_semi").select("id", "h", "line")
+    texts = texts.join(wanted, ["h", "id"], "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    opened = F.when(F.col("side") == 0, F.substring("line", F.col("m") + 1, F.length("line"))).otherwise(_left(F.col("line"), F.length("line") - F.col("m")))
+    now = members.join(texts, "h").select("key", "hub", "h", opened.alias("mid"), F.col("m").alias("o"))
     half = F.expr("div(o, 2)").cast("int")
-    opened = F.when(F.col("side") == 0, F.substring("line", half + 1, F.length("line"))).otherwise(_left(F.col("line"), F.length("line") - (F.col("o") - half)))
-    now = members.join(texts, "h").select("key", "h", opened.alias("mid"), F.when(F.col("side") == 0, F.col("o") - half).otherwise(half).alias("o"))
     found: list[DataFrame] = []
     for _ in range(MAX_LEVELS):
-        hubs = now.groupBy("key").agg(F.min("h").alias("hub"), F.count("*").alias("size")).where("size > 1")
-        met = now.join(hubs, "key")
-        hub = met.where(F.col("h") == F.col("hub")).groupBy("key", F.col("mid").alias("hub_mid")).agg(F.lit(1).alias("one")).select("key", "hub_mid")
-        pairs = met.where(F.col("h") != F.col("hub")).join(hub, "key").select("key", "hub", "h", "mid", "o", "size", within_one_edit(F.col("mid"), F.col("hub_mid")).alias("linked")).checkpoint()
+        hub = now.where(F.col("h") == F.col("hub")).groupBy("key").agg(F.first("mid").alias("hub_mid"))
+        pairs = now.where(F.col("h") != F.col("hub")).join(hub, "key").select("key", "hub", "h", "mid", "o", near(F.col("mid"), F.col("hub_mid")).alias("linked")).checkpoint()
         found.append(pairs.where("linked").select(F.col("hub").alias("a"), F.col("h").alias("b")))
-        # Buckets of three or more in which some line is not the hub's: all but the hub go on.
-        going = pairs.where("size > 2 and not linked").select("key").distinct()
+        # Buckets in which two lines or more are no hub and some is not linked: all but the hub go on.
+        going = pairs.groupBy("key").agg(F.min("h").alias("p"), F.max("h").alias("q"), F.bool_and("linked").alias("all")).where("p <> q and not all").select("key")
         rest = pairs.where("o > 0").join(going, "key", "left_semi")
-        left = F.struct(F.xxhash64("key", F.lit(0), _left(F.col("mid"), half)).alias("key"), F.substring("mid", half + 1, F.length("mid")).alias("mid"), (F.col("o") - half).alias("o"))
-        right = F.struct(F.xxhash64("key", F.lit(1), _right(F.col("mid"), F.col("o") - half)).alias("key"), _left(F.col("mid"), F.length("mid") - (F.col("o") - half)).alias("mid"), half.alias("o"))
-        now = rest.select("h", F.explode(F.array(left, right)).alias("n")).select("n.key", "h", "n.mid", "n.o")
-        if rest.isEmpty():
+        left = F.struct(F.xxhash64("key", F.lit(0), half, _left(F.col("mid"), half)).alias("key"), F.substring("mid", half + 1, F.length("mid")).alias("mid"), (F.col("o") - half).alias("o"))
+        back = F.col("o") - half
+        right = F.struct(F.xxhash64("key", F.lit(1), back, _right(F.col("mid"), back)).alias("key"), _left(F.col("mid"), F.length("mid") - back).alias("mid"), half.alias("o"))
+        deeper = rest.select("h", F.explode(F.array(left, right)).alias("n")).select("n.key", "h", "n.mid", "n.o").distinct().checkpoint()
+        if deeper.isEmpty():
             break
+        now = deeper.join(_crowded(deeper), "key")
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
     return out.distinct()
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(``id``, ``pos``, ``line``, ``h``) of the long lines of documents with an id."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
-    return rows.where(F.length("line") >= MIN_CHARS).withColumn("h", F.xxhash64("line"))
-
-
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> DataFrame:
     """(``id``, ``gone``, ``n_near``): by document, the places of its boilerplate lines, and how many of its lines have a near, different line."""
-    spots = _occurrences(docs, id_col, text_col)
-    roots = components(links(spots.select("h", "line")), "a", "b")
-    near = roots.select(F.col("node").alias("h"), "root").unionByName(roots.select(F.col("root").alias("h"), "root").distinct())
-    slim = spots.select("id", "pos", "h")
-    # Counted by line first, then by class: a line in a third of all rows is summed where it is read.
-    by_doc = slim.groupBy("h", "id").agg(F.min("pos").alias("pos"))
-    classed = by_doc.join(near, "h", "left").select(F.coalesce("root", "h").alias("class"), "id", "pos")
-    by_class = classed.groupBy("class", "id").agg(F.min("pos").alias("pos")).groupBy("class").agg(F.count("*").alias("docs"), F.min(F.struct("id", "pos")).alias("first"))
-    common = by_class.where(F.col("docs") > max_docs)
-    members = common.join(near.withColumnRenamed("root", "class"), "class", "left").select(F.coalesce("h", "class").alias("h"), "first", F.lit(True).alias("common"))
-    marks = near.select("h", F.lit(True).alias("near")).join(members, "h", "full")
-    hit = slim.join(marks, "h")
-    gone = F.coalesce(F.col("common"), F.lit(False)) & ~((F.col("id") == F.col("first.id")) & (F.col("pos") == F.col("first.pos")))
-    return hit.groupBy("id").agg(F.array_distinct(F.collect_list(F.when(gone, F.col("pos")))).alias("gone"), F.count_if(F.coalesce("near", F.lit(False))).alias("n_near"))
+    shared_folder(docs.sparkSession)
+    table = indexed(_long_lines(docs, id_col, text_col)).checkpoint()
+    roots = components(links(docs, table, id_col, text_col), "a", "b")
+    classes = roots.select(F.col("node").alias("h"), "root").unionByName(roots.select(F.col("root").alias("h"), "root").distinct()).checkpoint()
+    spots = table.select("id", "pos", "h")
+    # Only lines that occur often enough, or have a near line, can be in a class of so many documents.
+    often = spots.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("h")
+    slim = spots.join(often.unionByName(classes.select("h")).distinct(), "h").join(classes, "h", "left").select("id", "pos", "h", F.coalesce("root", "h").alias("class"), F.col("root").isNotNull().alias("near")).checkpoint()
+    by_class = slim.groupBy("class", "id").agg(F.min("pos").alias("pos")).groupBy("class").agg(F.count("*").alias("docs"), F.min("id").alias("first_id")).where(F.col("docs") > max_docs)
+    first = by_class.join(slim.groupBy("class", "id").agg(F.min("pos").alias("first_pos")), (by_class["class"] == slim["class"]) & (by_class["first_id"] == slim["id"])).select(by_class["class"], "first_id", "first_pos")
+    hit = slim.join(first, "class", "left")
+    gone = F.col("first_id").isNotNull() & ~((F.col("id") == F.col("first_id")) & (F.col("pos") == F.col("first_pos")))
+    return hit.groupBy("id").agg(F.array_distinct(F.collect_list(F.when(gone, F.col("pos")))).alias("gone"), F.count_if("near").alias("n_near")).where((F.size("gone") > 0) | (F.col("n_near") > 0))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, report: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with the text thinned; ``report`` adds ``n_lines``, ``n_kept``, ``n_near``."""
-    marks = dropped(docs, id_col, text_col, max_docs).select(F.col("id").alias("_line_id"), F.col("gone").alias("_line_gone"), F.col("n_near").alias("_line_near"))
-    joined = docs.join(marks, docs[id_col].cast("long") == marks["_line_id"], "left")
+    marks = dropped(docs, id_col, text_col, max_docs).select(F.col("id").alias("_line_id"), F.col("gone").alias("_line_gone"), F.col("n_near").alias("_line_near")).checkpoint()
+    # Documents whose bucket has no mark are not shuffled.
+    touched = _buckets(marks, "_line_b", F.xxhash64("_line_id"))
+    sided = docs.join(touched, _bucket(F.xxhash64(docs[id_col].cast("long"))) == F.col("_line_b"), "left")
+    apart = sided.where(F.col("_line_b").isNotNull()).drop("_line_b").join(marks, F.col(id_col).cast("long") == F.col("_line_id"), "left")
+    same = sided.where(F.col("_line_b").isNull()).drop("_line_b")
+    same = same.withColumns({c: F.lit(None).cast(marks.schema[c].dataType) for c in marks.columns})
+    return _thinned(same, docs.columns, text_col, report).unionByName(_thinned(apart, docs.columns, text_col, report))
+
+
+def _thinned(joined: DataFrame, columns: list[str], text_col: str, report: bool) -> DataFrame:
     # Named before any column of that name is made anew: inside a lambda Spark would prefer the new one.
-    text = docs[text_col]
+    text = joined[text_col]
     lines = _lines(text)
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("_line_gone", F.array().cast("array<int>")))
     # The array of lines is handed to the inner function as a value, or it would be split anew for every place.
@@ -154,6 +212,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tagged = F.array_distinct(F.transform(left, lambda x, i: F.when(F.length(x) < MIN_CHARS, F.concat(i.cast("string"), F.lit(":"), x)).otherwise(F.concat(F.lit(":"), x))))
     kept = F.transform(tagged, lambda x: F.substring(x, F.locate(":", x) + 1, F.length(x)))
     thinned = F.when(text.isNotNull(), F.array_join(kept, "\n"))
-    cols = [thinned.alias(c) if c == text_col else docs[c] for c in docs.columns]
+    cols = [thinned.alias(c) if c == text_col else joined[c] for c in columns]
     extra = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(kept), F.lit(0)).cast("long").alias("n_kept"), F.coalesce("_line_near", F.lit(0)).cast("long").alias("n_near")] if report else []
     return joined.select(*cols, *extra)
