@@ -240,6 +240,18 @@ def test_cycles(engine):
     assert (a.runs, b.runs, d.runs) == (1, 1, 1)
 
 
+def test_cycle_that_appears_during_a_repair(engine):
+    A, B, T = no_field("QA"), no_field("QB"), no_field("QT")
+    engine.register(
+        simple(A, lambda k, c: c.query(B()), cycle_value=lambda: -1),
+        simple(B, lambda k, c: c.query(A()) + 1 if c.query(Var(0)) else 5, cycle_value=lambda: -2),
+        simple(T, lambda k, c: [c.query(A()), c.query(B())]),
+    )
+    for v, want in [(0, [5, 5]), (1, [-1, -2]), (0, [5, 5]), (1, [-1, -2])]:
+        put(engine, v0=v)
+        assert engine.query(T()) == want
+
+
 def test_conditional_cycle(engine):
     A, B = no_field("KA"), no_field("KB")
     engine.register(
