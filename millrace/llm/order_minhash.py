@@ -10,9 +10,13 @@ in another order do not agree.
 Texts with the same words are one class and only classes are compared.  In a
 bucket (equal band keys) every class is compared with the bucket's hub, the
 member that sits in the largest buckets altogether: links grow with the
-bucket, never with its square.  A member that is near its hub (``NEAR``) but
-not linked with it may be linked with another member only by k-mers that the
-hub lacks; such k-mers make the buckets of a second pass.
+bucket, never with its square.  Where a member is near its hub (``NEAR``) but
+not linked with it, the comparison goes on.  First the hub's members are
+compared with the one most similar to the hub, since a copy's most similar
+text is the text it was copied from.  Then members are bucketed by k-mers
+that their hub lacks: as a member that is not linked with the hub shares too few k-mers with it,
+a link with another member takes a known number of such k-mers, and so the
+two agree in one of their rarest ones (a prefix filter).  This goes on until no pair is new.
 
 A pair is verified on its whole texts: words are aligned inside a band as wide
 as a similarity of ``THRESHOLD`` allows, and the similarity is the number of k-mers inside
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import wordhash
@@ -46,6 +50,7 @@ TAKE = 2
 BANDS = 10
 THRESHOLD = 0.8
 NEAR = 0.3
+MAX_TURNS = 200
 
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * s + 3) + 0x1234567) & 0xFFFFFFFFFFFFFFFF | 1) for s in range(BANDS)]
 _SALT = [np.uint64((0xD1B54A32D192ED03 * (s + 1)) & 0xFFFFFFFFFFFFFFFF) for s in range(BANDS)]
@@ -196,29 +201,62 @@ def _words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
 
 
 def _verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """``pairs`` (hub, cid) with ``sim`` and, between NEAR and 1, the k-mers of cid that the hub lacks (``novel``)."""
+    """``pairs`` (hub, cid) with ``sim``, ``rare`` and ``novel``.
 
-    @F.pandas_udf("sim double, novel array<long>")
+    Between NEAR and 1, ``novel`` are the labelled k-mers of cid that the hub
+    lacks, and ``rare`` how many of the rarest of them must hold one in common with any text that is linked with cid.
+    """
+
+    @F.pandas_udf("sim double, rare int, novel array<long>")
     def run(hub: pd.Series, member: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(hub, member, strict=True):
             a, b = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
             sim = compare(a, b)
-            out.append((sim, np.setdiff1d(_shingles(b), _shingles(a)).view(np.int64).tolist() if NEAR <= sim < 1 else []))
-        return pd.DataFrame(out, columns=["sim", "novel"])
+            novel, rare = np.zeros(0, np.int64), 0
+            if NEAR <= sim < 1:
+                la, lb = (_labelled(w, np.array([len(w)])) for w in (_shingles(a), _shingles(b)))
+                novel = np.setdiff1d(lb, la).view(np.int64)
+                # A text linked with b has 0.8 of its size at least, so they share 0.8 of b's k-mers at least, and those with the hub are known.
+                rare = len(novel) - max(1, int(np.ceil(THRESHOLD * len(lb) - 1e-9)) - (len(lb) - len(novel))) + 1
+            out.append((sim, rare, novel.tolist() if rare > 0 else []))
+        return pd.DataFrame(out, columns=["sim", "rare", "novel"])
 
     full = pairs.join(words.withColumnRenamed("words", "member_words"), "cid").join(words.select(F.col("cid").alias("hub"), F.col("words").alias("hub_words")), "hub")
     return full.select("hub", "cid", run("hub_words", "member_words").alias("v")).select("hub", "cid", "v.*")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """``members`` (key, cid) as distinct pairs (hub, cid): each bucket's members with its hub."""
+def _stars(members: DataFrame, hubs: int = 1) -> DataFrame:
+    """``members`` (key, cid) as distinct pairs (hub, cid): each bucket's members with its hub, or with two of them."""
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     inside = members.join(sizes, "key")
     weight = inside.groupBy("cid").agg(F.sum("size").alias("weight"))
-    weighed = inside.join(weight, "cid")
-    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("cid")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
-    return inside.join(hubs, "key").where(F.col("cid") != F.col("hub")).select("hub", "cid").distinct()
+    rank = F.struct("weight", (-F.col("cid")).alias("minus"))
+    ends = inside.join(weight, "cid").groupBy("key").agg(F.max(rank).alias("h"), F.min(rank).alias("l"))
+    chosen = ends.select("key", (-F.col("h.minus")).alias("hub"))
+    if hubs > 1:
+        chosen = chosen.union(ends.select("key", -F.col("l.minus")))
+    return inside.join(chosen, "key").where(F.col("cid") != F.col("hub")).select("hub", "cid").distinct()
+
+
+def _undirected(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("hub", "cid").alias("x"), F.greatest("hub", "cid").alias("y"))
+
+
+def _recentred(near: DataFrame) -> DataFrame:
+    """Each hub's near members with the one of them that is most similar to the hub."""
+    best = near.groupBy("hub").agg(F.max(F.struct("sim", (-F.col("cid")).alias("minus"))).alias("b")).select("hub", (-F.col("b.minus")).alias("centre"))
+    return near.join(best, "hub").where("cid <> centre").select(F.col("centre").alias("hub"), "cid")
+
+
+def _novel_buckets(near: DataFrame) -> DataFrame:
+    """(key, cid) by the rarest k-mers that the hub lacks, where one member at least is not linked with the hub."""
+    novel = near.select("cid", "hub", "rare", (F.col("sim") < THRESHOLD).alias("open"), F.explode("novel").alias("n")).select(F.xxhash64("hub", "n").alias("key"), "cid", "hub", "rare", "open")
+    often = novel.groupBy("key").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("hub", "cid").orderBy("often", "key"))  # the k-mers of one text
+    rarest = novel.join(often, "key").withColumn("place", place).where("place <= rare").drop("often", "place")
+    useful = rarest.groupBy("key").agg(F.min("cid").alias("p"), F.max("cid").alias("q"), F.max("open").alias("o")).where("p <> q and o").select("key")
+    return rarest.join(useful, "key").select("key", "cid").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,14 +271,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = _stars(members).checkpoint()
     wanted = pairs.select("cid").union(pairs.select("hub")).distinct().join(named.select("cid", "same"), "cid")
     words = _words(docs, wanted, id_col, text_col).checkpoint()
-    first = _verify(pairs, words).checkpoint()
-    # Second pass: k-mers that the hub lacks, for hubs with a member near but not linked.
-    open_hubs = first.where((F.col("sim") < THRESHOLD) & (F.col("sim") >= NEAR)).select("hub").distinct()
-    novel = first.where(F.col("sim") >= NEAR).join(open_hubs, "hub").select("hub", "cid", (F.col("sim") < THRESHOLD).alias("open"), F.explode("novel").alias("n")).select(F.xxhash64("hub", "n").alias("key"), "cid", "open").distinct()
-    useful = novel.groupBy("key").agg(F.count("*").alias("c"), F.max("open").alias("o")).where("c > 1 and o").select("key")
-    more = _stars(novel.join(useful, "key").select("key", "cid").distinct()).join(pairs, ["hub", "cid"], "left_anti")
-    second = _verify(more, words)
-    edges = first.where(F.col("sim") >= THRESHOLD).select("hub", "cid").union(second.where(F.col("sim") >= THRESHOLD).select("hub", "cid"))
+    found: list[DataFrame] = []
+    done = _undirected(pairs)
+    for turn in range(MAX_TURNS):
+        seen = _verify(pairs, words).checkpoint()
+        found.append(seen.where(F.col("sim") >= THRESHOLD).select("hub", "cid"))
+        near = seen.where(F.col("sim") >= NEAR)
+        open_hubs = near.where(F.col("sim") < THRESHOLD).select("hub").distinct()
+        near = near.join(open_hubs, "hub", "left_semi")
+        more = _recentred(near) if turn == 0 else _stars(_novel_buckets(near), 2)
+        pairs = more.withColumns({"x": F.least("hub", "cid"), "y": F.greatest("hub", "cid")}).join(done, ["x", "y"], "left_anti").dropDuplicates(["x", "y"]).select("hub", "cid").checkpoint()
+        # The recentred turn may have nothing new to compare where the next one has.
+        if turn and pairs.isEmpty():
+            break
+        done = done.union(_undirected(pairs))
+    else:
+        raise RuntimeError(f"near-duplicates did not settle in {MAX_TURNS} turns")
+    edges = found[0]
+    for f in found[1:]:
+        edges = edges.union(f)
     roots = components(edges, "hub", "cid")
     named_rows = groups.select("same", "cid", "n_copies").join(roots, F.col("cid") == F.col("node"), "left").select("same", F.coalesce("root", "cid").alias("class_id"), "n_copies")
     return rows.join(named_rows, "same").select(F.col("id").alias("doc_id"), "class_id", "n_copies")
