@@ -44,8 +44,8 @@ from millrace.llm.ship import ship
 FP_PER_KEY = 1.0
 #: Bytes of all levels that may be broadcast together.
 MAX_CASCADE_BYTES = 64 << 20
-#: Most listed keys in one shard.
-SHARD_KEYS = 4_000_000
+#: Most listed keys in one shard; the keys of four shards are broadcast while cascades are built.
+SHARD_KEYS = 250_000
 MAX_LEVELS = 64
 
 
