@@ -165,3 +165,12 @@ def test_stream_batches_are_folded_once(spark, engine):
     for n, rows in [(0, [(1, 1)]), (1, [(2, 2)]), (1, [(2, 2)]), (2, [(3, 3)])]:
         handle(frame(spark, rows), n)
     assert engine.query(Rows("s")).count() == 3
+
+
+def test_impure_executors_are_found(spark, engine):
+    Noise = query(type("Noise", (), {}), name="Noise")
+    engine.register(*program(), executor(Noise)(lambda key, ctx: ctx.query(Rows("a")).withColumn("r", F.rand())))
+    with engine.session() as s:
+        s.set_input(Rows("a"), frame(spark, [(1, 1), (2, 2)]))
+    assert all(engine.recheck(k) for k in (Rows("a"), Grouped("a"), OneSlice("a", 1), Total("a")))
+    assert not engine.recheck(Noise())
