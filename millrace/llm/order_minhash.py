@@ -51,6 +51,8 @@ BANDS = 10
 THRESHOLD = 0.8
 NEAR = 0.3
 MAX_TURNS = 200
+#: Hubs of a bucket in later turns: 4, 8, ... up to so many, each a row for each member.
+MAX_HUBS = 64
 
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * s + 3) + 0x1234567) & 0xFFFFFFFFFFFFFFFF | 1) for s in range(BANDS)]
 _SALT = [np.uint64((0xD1B54A32D192ED03 * (s + 1)) & 0xFFFFFFFFFFFFFFFF) for s in range(BANDS)]
@@ -227,15 +229,15 @@ def _verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame, hubs: int = 1) -> DataFrame:
-    """``members`` (key, cid) as distinct pairs (hub, cid): each bucket's members with its hub, or with two of them."""
+    """``members`` (key, cid) as distinct pairs (hub, cid): each bucket's members with its hub, and with about ``hubs - 1`` more chosen by hash."""
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     inside = members.join(sizes, "key")
     weight = inside.groupBy("cid").agg(F.sum("size").alias("weight"))
     rank = F.struct("weight", (-F.col("cid")).alias("minus"))
-    ends = inside.join(weight, "cid").groupBy("key").agg(F.max(rank).alias("h"), F.min(rank).alias("l"))
-    chosen = ends.select("key", (-F.col("h.minus")).alias("hub"))
+    chosen = inside.join(weight, "cid").groupBy("key").agg(F.max(rank).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
     if hubs > 1:
-        chosen = chosen.union(ends.select("key", -F.col("l.minus")))
+        more = inside.where(F.pmod(F.xxhash64("cid", "key"), "size") < hubs - 1).select("key", F.col("cid").alias("hub"))
+        chosen = chosen.union(more).distinct()
     return inside.join(chosen, "key").where(F.col("cid") != F.col("hub")).select("hub", "cid").distinct()
 
 
@@ -279,7 +281,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         near = seen.where(F.col("sim") >= NEAR)
         open_hubs = near.where(F.col("sim") < THRESHOLD).select("hub").distinct()
         near = near.join(open_hubs, "hub", "left_semi")
-        more = _recentred(near) if turn == 0 else _stars(_novel_buckets(near), 2)
+        more = _recentred(near) if turn == 0 else _stars(_novel_buckets(near), min(2 ** (turn + 1), MAX_HUBS))
         pairs = more.withColumns({"x": F.least("hub", "cid"), "y": F.greatest("hub", "cid")}).join(done, ["x", "y"], "left_anti").dropDuplicates(["x", "y"]).select("hub", "cid").checkpoint()
         # The recentred turn may have nothing new to compare where the next one has.
         if turn and pairs.isEmpty():
