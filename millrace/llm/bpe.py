@@ -20,6 +20,7 @@ result; columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Iterator
@@ -183,6 +184,12 @@ class Encoder:
         return b"".join([table[i] for i in np.frombuffer(packed, dtype="<u4").tolist()]).decode("utf-8", errors="replace")
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(definition: str) -> Encoder:
+    """The worker's encoder: its memo lives on from task to task."""
+    return Encoder(definition)
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, and with ``with_ids`` also ``ids`` and ``decoded``."""
     spark = docs.sparkSession
@@ -193,7 +200,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(definition.value)
+        encoder = encoder_of(definition.value)
         for texts in batches:
             rows = []
             for packed in encoder.encode_many(list(texts)):

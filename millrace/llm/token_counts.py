@@ -14,6 +14,7 @@ clashing names do not matter; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -49,7 +50,7 @@ def byte_balanced(pieces: list[str], most: int = BATCH_BYTES) -> Iterator[list[s
 
 
 class Counter:
-    """Counts tokens of texts; one per task."""
+    """Counts tokens of texts; one per worker."""
 
     def __init__(self, definition: str, split_at_space: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,6 +80,12 @@ class Counter:
         return sum([memo[p] for p in pieces])
 
 
+@functools.lru_cache(maxsize=1)
+def counter_of(definition: str, split_at_space: bool) -> Counter:
+    """The worker's counter: its memo lives on from task to task."""
+    return Counter(definition, split_at_space)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, split_at_space: bool = True) -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``n_tokens``, ``over_limit`` (``n_tokens > limit``)."""
     spark = docs.sparkSession
@@ -88,7 +95,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     @F.pandas_udf("long")
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(definition.value, split_at_space)
+        counter = counter_of(definition.value, split_at_space)
         for texts in batches:
             yield pd.Series([counter.count(t) for t in texts], dtype="int64")
 
