@@ -56,8 +56,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_folder(spark)
     jvm = spark.sparkContext._jvm  # noqa: SLF001
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{jvm.java.util.UUID.randomUUID()}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for n, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}-{name}")
-        docs = spark.read.parquet(f"{folder}/{n}-{name}")
+        now = f"{folder}/{n}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(now)
+        docs = spark.read.parquet(now)
+        if before:  # nothing reads the stage before any more
+            path = jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+        before = now
     return docs
