@@ -83,7 +83,7 @@ def within_one_edit(x: Column, y: Column) -> Column:
 
     ahead = F.length(y) - F.length(x) + 1
     end = F.aggregate(chars, start, step, lambda s: s["r1"])
-    return F.when((ahead < 0) | (ahead > 2), F.lit(False)).otherwise(F.element_at(F.array(*[F.getbit(end, F.lit(d)) for d in range(3)]), F.greatest(F.least(ahead, F.lit(2)), F.lit(0)) + 1) == 1)
+    return F.when((ahead < 0) | (ahead > 2), F.lit(False)).otherwise(F.call_function("shiftright", end, F.greatest(ahead, F.lit(0))).bitwiseAND(F.lit(1)) == 1)
 
 
 def near(x: Column, y: Column) -> Column:

@@ -34,7 +34,6 @@ are kept by ``deduplicate``; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
