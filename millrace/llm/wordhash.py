@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
