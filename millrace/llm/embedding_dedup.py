@@ -101,7 +101,8 @@ def link(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", la
     valid = marked.where("sound").select("vec_id", "label", "vec", F.xxhash64("label", "vec").alias("h"))
     classes = valid.groupBy("h", "label", "vec").agg(F.min("vec_id").alias("cid"), F.count("*").alias("mult")).checkpoint()
     total = classes.count()
-    k = int(np.clip(round(total**0.25 / 2.5), 1, MAX_CODEWORDS))
+    # So that a cell of one of some labels has about a block of vectors: a visit then costs as much to send as to compare.
+    k = int(np.clip(round((total / (12 * BLOCK)) ** 0.5), 1, MAX_CODEWORDS))
     sample = classes.orderBy(F.xxhash64("cid")).limit(FIT_ROWS).select(F.col("vec").cast("array<double>").alias("vec")).toPandas()
     books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dims, group in sample.groupby(sample["vec"].map(len)):

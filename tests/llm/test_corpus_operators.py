@@ -99,8 +99,9 @@ def brute_links(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_embeddings_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(1, 256), (2, 2)])
+def test_embeddings_equal_brute_force(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     r = np.random.default_rng(seed)
     rows = []
     centres = r.normal(size=(12, 16))
