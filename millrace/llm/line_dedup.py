@@ -47,6 +47,7 @@ from millrace.llm.ship import shared_folder
 MIN_CHARS = 20
 MAX_DOCS = 6
 NARROW = 4
+SHORT = 3
 BUCKET_BITS = 20
 
 
@@ -137,29 +138,34 @@ def _crowded(entries: DataFrame) -> DataFrame:
     return entries.groupBy("key").agg(F.min("h").alias("hub"), F.max("h").alias("top")).where("hub <> top").select("key", "hub")
 
 
-def _branches(key: Column, mid: Column) -> Column:
-    """Where an open part goes on: (key, mid) for the bucket of its own length and of the length below.
+def _branches(key: Column, mid: Column, least: Column) -> Column:
+    """Where an open part goes on: (key, mid, least); ``least`` is the length that all parts of a bucket have at least.
 
-    A bucket of length ``l`` joins parts of ``l`` and ``l + 1`` characters that
-    agree in the first or the last half of ``l``. What is open gets shorter in each
-    branch, so this ends: parts of at most one character are all within one edit.
+    While that is over ``SHORT``, parts go on where the first or the last half
+    of ``least`` characters agree: two branches. Shorter parts go on in the
+    bucket of their own length and of the length below, for a bucket of
+    length ``l`` joins parts of ``l`` and ``l + 1`` characters. There what is open
+    gets shorter in each branch, so this ends: parts of at most one character are all within one edit.
     """
     size = F.length(mid)
+    long = least > SHORT
+    first = F.floor(least / 2).cast("int")
 
     def branch(when: Column, length: Column, side: int, begin: Column, end: Column) -> Column:
         agreed = F.concat(_left(mid, begin), _right(mid, end))
         rest = _left(F.substring(mid, begin + 1, F.length(mid)), size - begin - end)
-        return F.when(when, F.struct(F.xxhash64(key, F.lit(side), length, agreed).alias("key"), rest.alias("mid")))
+        then = F.when(long, least - begin - end).otherwise(F.lit(0))
+        return F.when(when, F.struct(F.xxhash64(key, F.lit(side), length, agreed).alias("key"), rest.alias("mid"), then.alias("least")))
 
     zero, one = F.lit(0), F.lit(1)
-    out = []
+    out = [branch(long, least, 4, first, zero), branch(long, least, 5, zero, least - first)]
     for down in (0, 1):
         length = size - down
         half = F.floor(length / 2).cast("int")
-        out += [branch(length > 1, length, 0, half, zero), branch(length > 1, length, 1, zero, length - half)]
+        out += [branch(~long & (length > 1), length, 0, half, zero), branch(~long & (length > 1), length, 1, zero, length - half)]
         # One character against two: the one is the first or the last of the two.
-        out += [branch(length == 1, length, 0, one, zero), branch(length == 1, length, 1, zero, one)]
-    out += [branch(size == 1, size, 2, zero, zero), branch(size <= 1, zero, 3, zero, zero)]
+        out += [branch(~long & (length == 1), length, 0, one, zero), branch(~long & (length == 1), length, 1, zero, one)]
+    out += [branch(~long & (size == 1), size, 2, zero, zero), branch(~long & (size <= 1), zero, 3, zero, zero)]
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
@@ -174,16 +180,17 @@ def links(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: s
     texts = _long_lines(some, id_col, text_col).join(_buckets(wanted, "_c", F.col("h")), _bucket(F.col("h")) == F.col("_c"), "left_semi").select("id", "h", "line")
     texts = texts.join(wanted, ["h", "id"], "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     opened = F.when(F.col("side") == 0, F.substring("line", F.col("m") + 1, F.length("line"))).otherwise(_left(F.col("line"), F.length("line") - F.col("m")))
-    now = members.join(texts, "h").select("key", "hub", "h", opened.alias("mid"))
+    now = members.join(texts, "h").select("key", "hub", "h", opened.alias("mid"), "m")
+    now = now.withColumnRenamed("m", "least")
     found: list[DataFrame] = []
     while True:
         hub = now.where(F.col("h") == F.col("hub")).groupBy("key").agg(F.first("mid").alias("hub_mid"))
-        pairs = now.where(F.col("h") != F.col("hub")).join(hub, "key").select("key", "hub", "h", "mid", near(F.col("mid"), F.col("hub_mid")).alias("linked")).checkpoint()
+        pairs = now.where(F.col("h") != F.col("hub")).join(hub, "key").select("key", "hub", "h", "mid", "least", near(F.col("mid"), F.col("hub_mid")).alias("linked")).checkpoint()
         found.append(pairs.where("linked").select(F.col("hub").alias("a"), F.col("h").alias("b")))
         # Buckets in which two lines or more are no hub and some is not linked: all but the hub go on.
         going = pairs.groupBy("key").agg(F.min("h").alias("p"), F.max("h").alias("q"), F.bool_and("linked").alias("all")).where("p <> q and not all").select("key")
         rest = pairs.join(going, "key", "left_semi")
-        deeper = rest.select("h", F.explode(_branches(F.col("key"), F.col("mid"))).alias("n")).select("n.key", "h", "n.mid").checkpoint()
+        deeper = rest.select("h", F.explode(_branches(F.col("key"), F.col("mid"), F.col("least"))).alias("n")).select("n.key", "h", "n.mid", "n.least").checkpoint()
         if deeper.isEmpty():
             break
         now = deeper.join(_crowded(deeper), "key")
