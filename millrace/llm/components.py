@@ -10,7 +10,7 @@ lineage by ``checkpoint()`` in the cluster's shared folder after each round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.llm.ship import shared_folder
@@ -27,18 +27,20 @@ def _star(edges: DataFrame, least: DataFrame, self_too: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    # Sums of halves: they can't overflow and tell two edge sets apart.
+def _cut(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges cut from their lineage, and numbers that tell two edge sets apart, taken in the same pass."""
+    watch = Observation()
     h = F.xxhash64("u", "v")
-    r = edges.agg(F.count("*"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(h, 32))).first()
-    return tuple(r)
+    # Sums of halves can't overflow.
+    kept = edges.observe(watch, F.count(F.lit(1)).alias("n"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"), F.sum(F.shiftrightunsigned(h, 32)).alias("hi")).checkpoint()
+    return kept, tuple(watch.get.get(k) or 0 for k in ("n", "lo", "hi"))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(``node``, ``root``) for every node that is not its component's smallest; edges with a null end are ignored."""
     shared_folder(edges.sparkSession)
-    now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
-    seen = _state(now)
+    now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    now, seen = _cut(now)
     for _ in range(MAX_ROUNDS):
         if not seen[0]:
             break
@@ -48,8 +50,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # A node's edge to its own least neighbour is kept by that neighbour's large star or here.
         large = large.unionByName(least.where(F.col("u") != F.col("m")).select("u", F.col("m").alias("v"))).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = _star(large, small, True).checkpoint()
-        before, seen = seen, _state(now)
+        before = seen
+        now, seen = _cut(_star(large, small, True))
         if before == seen:
             break
     else:

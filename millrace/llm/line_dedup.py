@@ -142,13 +142,14 @@ def _branches(key: Column, mid: Column, least: Column) -> Column:
     """Where an open part goes on: (key, mid, least); ``least`` is the length that all parts of a bucket have at least.
 
     While that is over ``SHORT``, parts go on where the first or the last half
-    of ``least`` characters agree: two branches. Shorter parts go on in the
+    of ``least`` characters agree: two branches, or where it is long four of two such steps. Shorter parts go on in the
     bucket of their own length and of the length below, for a bucket of
     length ``l`` joins parts of ``l`` and ``l + 1`` characters. There what is open
     gets shorter in each branch, so this ends: parts of at most one character are all within one edit.
     """
     size = F.length(mid)
     long = least > SHORT
+    longer = least > 8 * SHORT
     first = F.floor(least / 2).cast("int")
 
     def branch(when: Column, length: Column, side: int, begin: Column, end: Column) -> Column:
@@ -158,7 +159,12 @@ def _branches(key: Column, mid: Column, least: Column) -> Column:
         return F.when(when, F.struct(F.xxhash64(key, F.lit(side), length, agreed).alias("key"), rest.alias("mid"), then.alias("least")))
 
     zero, one = F.lit(0), F.lit(1)
-    out = [branch(long, least, 4, first, zero), branch(long, least, 5, zero, least - first)]
+    back = least - first
+    out = [branch(long & ~longer, least, 4, first, zero), branch(long & ~longer, least, 5, zero, back)]
+    # Two halvings at once: what is open after the first is halved again.
+    more, less = F.floor(back / 2).cast("int"), F.floor(first / 2).cast("int")
+    out += [branch(longer, least, 6, first + more, zero), branch(longer, least, 7, first, back - more)]
+    out += [branch(longer, least, 8, less, back), branch(longer, least, 9, zero, back + first - less)]
     for down in (0, 1):
         length = size - down
         half = F.floor(length / 2).cast("int")
