@@ -37,7 +37,7 @@ from millrace.llm.ship import ship
 #: Fixed value: the published pre-tokenization pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose encodings a worker remembers; the memo is emptied when full.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 450_000
 #: Texts of about so many characters are pre-tokenized together.
 GROUP_CHARS = 1 << 19
 
@@ -75,7 +75,7 @@ class Vocabulary:
 
     def may_follow(self, pair: int) -> bool:
         """True iff BPE can leave the tokens ``pair >> 20`` and ``pair & 0xFFFFF`` side by side."""
-        if len(self.allowed) > 1_000_000:
+        if len(self.allowed) > 300_000:
             self.allowed.clear()
         out = self.allowed[pair] = self._unmerge(pair >> 20, pair & 0xFFFFF)
         return out

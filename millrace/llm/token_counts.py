@@ -29,7 +29,7 @@ from millrace.llm.ship import ship
 #: Bytes of text handed to the encoder at once.
 BATCH_BYTES = 1 << 18
 #: Pieces whose counts a worker remembers; the memo is emptied when full.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 300_000
 
 _GAP = re.compile(r"[ \t\r\n]+")
 
