@@ -16,8 +16,14 @@ compared with the one most similar to the hub, since a copy's most similar
 text is the text it was copied from.  Then they are bucketed by k-mers that
 this centre lacks: a member that is not linked with it shares too few
 k-mers with it, a link with another member takes a known number of such k-mers, and so the
-two agree in one of their rarest ones (a prefix filter).  No bucket, however large, is cut or
-skipped.  As with any index of sketches recall is measured, not proven: see the tests and the README.
+two agree in one of their rarest ones (a prefix filter).
+
+What these turns link is closed to components.  A bucket that still holds members of several components is *open*, and
+all its pairs across components are compared: its members are dealt into blocks of about ``BLOCK_ROWS`` texts, each two
+blocks meet in a task of their own, and a matrix product of their k-mers leaves only pairs that may reach ``THRESHOLD``.
+So all pairs that agree in a band and are similar enough end in one class, and no bucket, however large, is cut or
+skipped.  That is work by the square of an open bucket's size, in tasks that more machines share; no pair becomes a row.
+As with any index of sketches recall is measured, not proven: see the tests and the README.
 
 A pair is verified on its whole texts: words are aligned inside a band as wide
 as a similarity of ``THRESHOLD`` allows, and the similarity is the number of k-mers inside
@@ -50,6 +56,11 @@ TAKE = 2
 BANDS = 10
 THRESHOLD = 0.8
 NEAR = 0.3
+#: A block of an open bucket has about so many texts and words, or less.
+BLOCK_ROWS = 256
+BLOCK_WORDS = 1 << 17
+#: Columns of k-mers that are multiplied at once.
+WIDE = 4096
 
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * s + 3) + 0x1234567) & 0xFFFFFFFFFFFFFFFF | 1) for s in range(BANDS)]
 _SALT = [np.uint64((0xD1B54A32D192ED03 * (s + 1)) & 0xFFFFFFFFFFFFFFFF) for s in range(BANDS)]
@@ -254,6 +265,81 @@ def _novel_buckets(near: DataFrame) -> DataFrame:
     return rarest.join(useful, "key").select("key", "cid").distinct()
 
 
+def _shared(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, texts) numbers of labelled k-mers in common, and the number of each text."""
+    size = np.array([len(w) // 4 for w in words])
+    win, count = wordhash.windows(np.frombuffer(b"".join(words), dtype=np.uint32).astype(np.uint64), np.concatenate([[0], np.cumsum(size)]), K)
+    owner = np.repeat(np.arange(len(words)), count)
+    _, column, often = np.unique(_labelled(win, count), return_inverse=True, return_counts=True)
+    some = often[column] > 1
+    owner, column = owner[some], (np.cumsum(often > 1) - 1)[column[some]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(words), len(words)), dtype=np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
+        a, b = np.searchsorted(column, [at, at + WIDE])
+        part = np.zeros((len(words), WIDE), dtype=np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        both += part @ part.T
+    return both, count
+
+
+def _link_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links (hub, cid) that connect all linked texts of two blocks of a bucket, or of one block with itself."""
+    label, block, band = rows["label"].to_numpy(), rows["block"].to_numpy(), int(rows["band"].iloc[0])
+    open_ = np.triu(label[:, None] != label[None, :], 1)
+    if rows["b1"].iloc[0] != rows["b2"].iloc[0]:
+        open_ &= block[:, None] != block[None, :]
+    keys = np.array(rows["keys"].tolist(), dtype=np.int64)
+    for b in range(band):  # pairs that agree in an earlier band meet there
+        open_ &= keys[:, None, b] != keys[None, :, b]
+    out: list[tuple[int, int]] = []
+    if open_.any():
+        both, count = _shared(rows["words"].tolist())
+        open_ &= both >= (THRESHOLD - 1e-6) * (count[:, None] + count[None, :] - both)
+        text = [np.frombuffer(w, dtype=np.uint32) for w in rows["words"]]
+        cid = rows["cid"].tolist()
+        root = {v: v for v in label.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i, j in zip(*(x.tolist() for x in np.nonzero(open_)), strict=True):
+            x, y = find(label[i]), find(label[j])
+            if x != y and compare(text[i], text[j]) >= THRESHOLD:
+                root[x] = y
+                out.append((cid[i], cid[j]))
+    return pd.DataFrame(out, columns=["hub", "cid"], dtype="int64")
+
+
+def _open_links(named: DataFrame, words: DataFrame, roots: DataFrame) -> DataFrame:
+    """(hub, cid) links between components of ``roots`` (node, root) that stand in one bucket."""
+    found = words.select("cid", (F.length("words") / 4).alias("size")).join(named.select("cid", "keys"), "cid").dropDuplicates(["cid"])
+    texts = found.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "keys", "size", F.coalesce("root", "cid").alias("label")).checkpoint()
+    slots = texts.select("cid", "label", F.greatest(F.lit(1 / BLOCK_ROWS), F.col("size") / BLOCK_WORDS).alias("weight"), F.posexplode("keys").alias("band", "k")).withColumn("key", F.xxhash64("band", "k")).drop("k")
+    several = slots.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key")
+    inside = slots.join(several, "key").checkpoint()
+    # Small components share blocks; a large one has blocks of its own, which need not meet each other.
+    parts = inside.groupBy("key", "label").agg(F.sum("weight").alias("w"))
+    layout = parts.groupBy("key").agg(
+        F.ceil(F.coalesce(F.sum(F.when(F.col("w") <= 1, F.col("w"))), F.lit(0.0))).cast("int").alias("small"),
+        F.collect_list(F.when(F.col("w") > 1, F.struct("label", F.ceil("w").cast("int").alias("n")))).alias("large"),
+    )
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["n"])
+    placed = (
+        inside.join(layout, "key")
+        .withColumn("own", F.coalesce(F.get(F.filter("large", lambda x: x["label"] == F.col("label")), F.lit(0))["n"], F.lit(0)))
+        .withColumn("first", F.col("small") + total(F.filter("large", lambda x: x["label"] < F.col("label"))))
+        .withColumn("block", F.when(F.col("own") > 0, F.col("first") + F.pmod(F.xxhash64("cid"), F.greatest("own", F.lit(1)))).otherwise(F.pmod(F.xxhash64("label"), F.greatest("small", F.lit(1)))).cast("int"))
+        .withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("small") + total(F.col("large")) - 1), lambda j: (F.col("own") == 0) | (j < F.col("first")) | (j >= F.col("first") + F.col("own")))))
+    )
+    met = placed.select("key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "band", "cid", "label")
+    payload = words.join(texts.select("cid", "keys"), "cid").join(inside.select("cid").distinct(), "cid", "left_semi")
+    return met.join(payload, "cid").groupBy("key", "b1", "b2").applyInPandas(_link_blocks, "hub long, cid long").distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``class_id`` (smallest id of its near-duplicate class), ``n_copies`` (rows with the same words, itself included)."""
     spark = docs.sparkSession
@@ -282,6 +368,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     for f in found[1:]:
         edges = edges.union(f)
     roots = components(edges, "hub", "cid")
+    late = _open_links(named, words, roots).checkpoint()
+    if not late.isEmpty():
+        roots = components(roots.select(F.col("root").alias("hub"), F.col("node").alias("cid")).union(late.select("hub", "cid")), "hub", "cid")
     named_rows = groups.select("same", "cid", "n_copies").join(roots, F.col("cid") == F.col("node"), "left").select("same", F.coalesce("root", "cid").alias("class_id"), "n_copies")
     return rows.join(named_rows, "same").select(F.col("id").alias("doc_id"), "class_id", "n_copies")
 

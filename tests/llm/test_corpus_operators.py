@@ -197,6 +197,43 @@ def test_near_duplicates(spark, seed):
     assert order_minhash.classes(docs.limit(0)).count() == 0
 
 
+def letters(seed, many, words=200, slots=12, values=4):
+    """Form letters: one template, the values of its slots shared by many of them."""
+    r = random.Random(seed)
+    base = [f"t{r.randrange(9_000)}" for _ in range(words)]
+    out = set()
+    while len(out) < many:
+        w = list(base)
+        for n in range(slots):
+            w[(2 * n + 1) * words // (2 * slots)] = f"slot{n}v{r.randrange(values)}"
+        out.add(tuple(w))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rows", [256, 40])
+def test_form_letters_keep_all_links(spark, monkeypatch, rows):
+    monkeypatch.setattr(order_minhash, "BLOCK_ROWS", rows)
+    texts = letters(3, 600)
+    got = {x.doc_id: x.class_id for x in order_minhash.classes(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()}
+    group = list(range(len(texts)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    all_grams = [grams(w) for w in texts]
+    links = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(all_grams[a] & all_grams[b])
+            if both / (len(all_grams[a]) + len(all_grams[b]) - both) >= 0.8:
+                links += 1
+                x, y = sorted((find(a), find(b)))
+                group[y] = x
+    assert links > 300 and [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+
+
 def test_alignment_similarity():
     r = random.Random(6)
     for _ in range(300):
