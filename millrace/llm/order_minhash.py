@@ -7,22 +7,23 @@ and *kept in text order*; their sequence is the band's key.  Two texts agree
 in a band with a probability that follows their edit similarity: shared k-mers
 in another order do not agree.
 
-Texts with the same words are one class and only classes are compared.  In a
-bucket (equal band keys) every class is compared with the bucket's hub, the
-member that sits in the largest buckets altogether: links grow with the
-bucket, never with its square.  Where a member is near its hub (``NEAR``) but
-not linked with it, two more turns follow.  First the hub's members are
-compared with the one most similar to the hub, since a copy's most similar
-text is the text it was copied from.  Then they are bucketed by k-mers that
-this centre lacks: a member that is not linked with it shares too few
-k-mers with it, a link with another member takes a known number of such k-mers, and so the
-two agree in one of their rarest ones (a prefix filter).
-
-What these turns link is closed to components.  A bucket that still holds members of several components is *open*, and
-all its pairs across components are compared: its members are dealt into blocks of about ``BLOCK_ROWS`` texts, each two
-blocks meet in a task of their own, and a matrix product of their k-mers leaves only pairs that may reach ``THRESHOLD``.
-So all pairs that agree in a band and are similar enough end in one class, and no bucket, however large, is cut or
-skipped.  That is work by the square of an open bucket's size, in tasks that more machines share; no pair becomes a row.
+Texts with the same words are one node and only nodes are compared.  In a
+bucket (equal band keys) every node is compared with the bucket's hub, the
+member that sits in the largest buckets altogether: pairs grow with the
+bucket, never with its square.  Members that are near their hub (``NEAR``) but
+not linked with it are then compared with the member most similar to the hub, since a
+copy's most similar text is the text it was copied from.  A hub's members are
+spread over all tasks, and each task streams them past one copy of the hub.
+
+What this links is closed to components.  A hub whose members still stand in several components is *open*, and every
+pair across them that can be linked is compared.  Which can be is exact: of two linked texts the smaller one shares 8/9
+of its k-mers with the other, and the larger one 4/5 of its own; those in common with the hub are known, so the pair
+must share a known number of k-mers that the hub lacks.  A member that shares too few of these with members of other components is
+closed.  What is left is dealt into blocks of about ``BLOCK_ROWS`` texts; each block of possible smaller
+ones meets each block of possible larger ones in a task of its own, and a matrix product of their k-mers leaves only pairs that may reach
+``THRESHOLD``.  So all pairs that agree in a band and are similar enough end in one class, and no bucket, however large,
+is cut or skipped; texts that share a passage, or are copies edited each in its own way, cost no more than their k-mers.
+Only groups whose members share rare k-mers crosswise, such as form letters, cost block against block; no pair becomes a row.
 As with any index of sketches recall is measured, not proven: see the tests and the README.
 
 A pair is verified on its whole texts: words are aligned inside a band as wide
@@ -31,23 +32,25 @@ aligned runs over the number of k-mers of both (a Jaccard similarity that
 respects order).  Links are closed to components, whose smallest id is the class id.
 
 Cases: texts of 1 to K-1 words have one k-mer, all their words, and empty and
-null texts have none: they are near only to their own kind; a row with a null id belongs to
+null texts have none: they are near only to their own kind; ids may be of any type that has an order, and
+several texts may share an id; a row with a null id belongs to
 its class but never names it (its class id is null if all ids are null);
 repeated rows each get their row; ties go to the smaller id; other columns
-are kept by ``deduplicate``; an empty table gives an empty result.
+are kept by ``deduplicate``, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import wordhash
+from millrace.llm import slim, wordhash
 from millrace.llm.components import components
 from millrace.llm.ship import shared_folder, ship
 
@@ -56,7 +59,7 @@ TAKE = 2
 BANDS = 10
 THRESHOLD = 0.8
 NEAR = 0.3
-#: A block of an open bucket has about so many texts and words, or less.
+#: A block of an open hub has about so many texts and words, or less.
 BLOCK_ROWS = 256
 BLOCK_WORDS = 1 << 17
 #: Columns of k-mers that are multiplied at once.
@@ -149,15 +152,32 @@ def _runs(a: list[int], b: list[int], most: int) -> list[tuple[int, int]] | None
     return None
 
 
-def compare(a: np.ndarray, b: np.ndarray) -> float:
+class Shingled:
+    """A text as word hashes with its k-mers."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.shingles = _shingles(words)
+
+    @functools.cached_property
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.shingles, return_counts=True)
+
+    @functools.cached_property
+    def labelled(self) -> np.ndarray:
+        return _labelled(self.shingles, np.array([len(self.shingles)]))
+
+
+def compare(one: np.ndarray | Shingled, other: np.ndarray | Shingled) -> float:
     """Similarity of two texts given as word hashes: exact at or above ``THRESHOLD``, an upper bound of it below."""
+    x, y = (t if isinstance(t, Shingled) else Shingled(t) for t in (one, other))
+    a, b = x.words, y.words
     if len(a) == len(b) and (a == b).all():
         return 1.0
-    wa, wb = _shingles(a), _shingles(b)
-    total = len(wa) + len(wb)
+    total = len(x.shingles) + len(y.shingles)
     if not total:
         return 1.0
-    (ua, ca), (ub, cb) = np.unique(wa, return_counts=True), np.unique(wb, return_counts=True)
+    (ua, ca), (ub, cb) = x.counts, y.counts
     _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
     both = int(np.minimum(ca[ia], cb[ib]).sum())
     bound = both / (total - both)
@@ -172,212 +192,232 @@ def compare(a: np.ndarray, b: np.ndarray) -> float:
     return kept / (total - kept)
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per input row: ``id``, ``same`` (digest of its words), ``keys``."""
+#: Fixed columns of a sketch.
+_KEYS = [f"k{n}" for n in range(BANDS)]
+
+
+def _node(words: np.ndarray) -> int:
+    """64 bits that stand for a text's words."""
+    return int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
 
-    @F.pandas_udf("same binary, keys array<long>")
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``text`` and ``digest``, a hash of the text: two rows that agree in id and digest are repeats."""
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("digest"))
+
+
+def _sketches(plain: DataFrame) -> DataFrame:
+    """One row per input row: ``id``, ``digest``, ``node`` and the band keys (null without k-mers)."""
+
+    @F.pandas_udf("node long, keys array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            same: list[bytes] = []
-            keys: list[list[int]] = []
+            nodes: list[int] = []
+            keys: list[list[int] | None] = []
             for h, cuts, first, end in wordhash.grouped(list(texts)):
                 win, count = wordhash.windows(h, cuts, K)
                 found = iter(sketch(win, count).view(np.int64).tolist() if len(win) else [])
                 for n in range(end - first):
-                    same.append(hashlib.blake2b(h[cuts[n] : cuts[n + 1]].tobytes(), digest_size=16).digest())
-                    keys.append(next(found) if count[n] else [])
-            yield pd.DataFrame({"same": same, "keys": keys})
+                    nodes.append(_node(h[cuts[n] : cuts[n + 1]]))
+                    keys.append(next(found) if count[n] else None)
+            yield pd.DataFrame({"node": nodes, "keys": keys})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), run(F.col(text_col)).alias("s")).select("id", "s.*")
+    return plain.select("id", "digest", run("text").alias("s")).select("id", "digest", "s.node", *[F.get("s.keys", F.lit(n)).alias(k) for n, k in enumerate(_KEYS)])
 
 
-def _words(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(``cid``, ``words``) of the wanted classes: 32 bits for each word of their naming document."""
+def _words(plain: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(``node``, ``words``) of the ``wanted`` (node, id): 32 bits for each word."""
 
-    @F.pandas_udf("same binary, words binary")
+    @F.pandas_udf("node long, words binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = []
             for h, cuts, first, end in wordhash.grouped(list(texts)):
                 for n in range(end - first):
                     own = h[cuts[n] : cuts[n + 1]]
-                    out.append((hashlib.blake2b(own.tobytes(), digest_size=16).digest(), (own >> np.uint64(32)).astype(np.uint32).tobytes()))
-            yield pd.DataFrame(out, columns=["same", "words"])
+                    out.append((_node(own), (own >> np.uint64(32)).astype(np.uint32).tobytes()))
+            yield pd.DataFrame(out, columns=["node", "words"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).alias("text")).join(wanted, "cid")
-    # Should an id name several texts, only the one of the class counts.
-    found = rows.select("cid", F.col("same").alias("want"), run("text").alias("w")).where(F.col("w.same") == F.col("want"))
-    return found.select("cid", "w.words").dropDuplicates(["cid"])
+    # Only documents whose id falls in the bucket of a wanted one are read as words.
+    some = plain.join(slim.buckets(wanted, "b", F.xxhash64("id")), slim.bucket(F.xxhash64(plain["id"])) == F.col("b"), "left_semi")
+    return some.select(run("text").alias("w")).select("w.*").join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
 
 
-def _verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """``pairs`` (hub, cid) with ``sim``, ``rare`` and ``novel``.
+def _past_hub(pairs: DataFrame, words: DataFrame, schema: str, look: Callable[[Shingled, Shingled], tuple]) -> DataFrame:
+    """``pairs`` (hub, node) with what ``look`` returns for the hub and the node.
 
-    Between NEAR and 1, ``novel`` are the labelled k-mers of cid that the hub
-    lacks, and ``rare`` how many of the rarest of them must hold one in common with any text that is linked with cid.
+    The hub's words are sent once to each task that has members of it, and come before them.
     """
+    parts = max(64, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = pairs.select("hub", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"), "node")
+    members = spread.join(words, "node").select("hub", "part", F.lit(True).alias("member"), "node", "words")
+    hubs = spread.select("hub", "part").distinct().join(words, F.col("hub") == F.col("node")).select("hub", "part", F.lit(False).alias("member"), "node", "words")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hub = None
+        for b in batches:
+            out = []
+            for h, member, node, w in zip(b["hub"].tolist(), b["member"].tolist(), b["node"].tolist(), b["words"], strict=True):
+                text = Shingled(np.frombuffer(w, dtype=np.uint32))
+                if member:
+                    out.append((h, node, *look(hub, text)))
+                else:
+                    hub = text
+            yield pd.DataFrame(out, columns=["hub", "node", *[x.split()[0] for x in schema.split(", ")]])
+
+    return members.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", "member").mapInPandas(run, f"hub long, node long, {schema}")
+
 
-    @F.pandas_udf("sim double, rare int, novel array<long>")
-    def run(hub: pd.Series, member: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y in zip(hub, member, strict=True):
-            a, b = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
-            sim = compare(a, b)
-            novel, rare = np.zeros(0, np.int64), 0
-            if NEAR <= sim < 1:
-                la, lb = (_labelled(w, np.array([len(w)])) for w in (_shingles(a), _shingles(b)))
-                novel = np.setdiff1d(lb, la).view(np.int64)
-                # A text linked with b has 0.8 of its size at least, so they share 0.8 of b's k-mers at least, and those with the hub are known.
-                rare = len(novel) - max(1, int(np.ceil(THRESHOLD * len(lb) - 1e-9)) - (len(lb) - len(novel))) + 1
-            out.append((sim, rare, novel.tolist() if rare > 0 else []))
-        return pd.DataFrame(out, columns=["sim", "rare", "novel"])
-
-    full = pairs.join(words.withColumnRenamed("words", "member_words"), "cid").join(words.select(F.col("cid").alias("hub"), F.col("words").alias("hub_words")), "hub")
-    return full.select("hub", "cid", run("hub_words", "member_words").alias("v")).select("hub", "cid", "v.*")
+def _novelty(hub: Shingled, text: Shingled) -> tuple[list[int], int, int]:
+    """The labelled k-mers that the hub lacks, and how many of them a text linked with this one must have as well if this one is the smaller, or the larger."""
+    both = len(np.intersect1d(hub.labelled, text.labelled, assume_unique=True))
+    novel = np.setdiff1d(text.labelled, hub.labelled, assume_unique=True)
+    size = len(text.labelled)
+    least = lambda share: int(np.ceil(share * size - 1e-9)) - both
+    return novel.view(np.int64).tolist(), least(2 * THRESHOLD / (1 + THRESHOLD)), least(THRESHOLD)
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """``members`` (key, cid) as distinct pairs (hub, cid): each bucket's members with its hub."""
+    """``members`` (key, node) as distinct pairs (hub, node): each bucket's members with its hub."""
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     inside = members.join(sizes, "key")
-    weight = inside.groupBy("cid").agg(F.sum("size").alias("weight"))
-    hubs = inside.join(weight, "cid").groupBy("key").agg(F.max(F.struct("weight", (-F.col("cid")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
-    return inside.join(hubs, "key").where(F.col("cid") != F.col("hub")).select("hub", "cid").distinct()
-
-
-def _undirected(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("hub", "cid").alias("x"), F.greatest("hub", "cid").alias("y"))
-
-
-def _recentred(near: DataFrame) -> DataFrame:
-    """Each hub's near members with the one of them that is most similar to the hub."""
-    best = near.groupBy("hub").agg(F.max(F.struct("sim", (-F.col("cid")).alias("minus"))).alias("b")).select("hub", (-F.col("b.minus")).alias("centre"))
-    return near.join(best, "hub").where("cid <> centre").select(F.col("centre").alias("hub"), "cid")
-
-
-def _novel_buckets(near: DataFrame) -> DataFrame:
-    """(key, cid) by the rarest k-mers that the hub lacks, where one member at least is not linked with the hub."""
-    novel = near.select("cid", "hub", "rare", (F.col("sim") < THRESHOLD).alias("open"), F.explode("novel").alias("n")).select(F.xxhash64("hub", "n").alias("key"), "cid", "hub", "rare", "open")
-    often = novel.groupBy("key").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("hub", "cid").orderBy("often", "key"))  # the k-mers of one text
-    rarest = novel.join(often, "key").withColumn("place", place).where("place <= rare").drop("often", "place")
-    useful = rarest.groupBy("key").agg(F.min("cid").alias("p"), F.max("cid").alias("q"), F.max("open").alias("o")).where("p <> q and o").select("key")
-    return rarest.join(useful, "key").select("key", "cid").distinct()
-
-
-def _shared(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, texts) numbers of labelled k-mers in common, and the number of each text."""
+    weight = inside.groupBy("node").agg(F.sum("size").alias("weight"))
+    hubs = inside.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    return inside.join(hubs, "key").where(F.col("node") != F.col("hub")).select("hub", "node").distinct()
+
+
+def _recentred(seen: DataFrame) -> DataFrame:
+    """Each hub's near members that are not linked with it, with the member most similar to the hub."""
+    near = seen.where(F.col("sim") >= NEAR)
+    best = near.groupBy("hub").agg(F.max(F.struct("sim", "node")).alias("b")).select("hub", F.col("b.node").alias("centre")).checkpoint()
+    return near.where(F.col("sim") < THRESHOLD).join(best, "hub").where("node <> centre").select(F.col("centre").alias("hub"), "node").distinct()
+
+
+def _possible(pairs: DataFrame, words: DataFrame, roots: DataFrame) -> DataFrame:
+    """(``hub``, ``node``, ``label``, ``small``) of the members of open hubs that can be linked with a member of another component; ``small``: as the smaller one."""
+    label = F.coalesce("root", F.col("p.node")).alias("label")
+    named = pairs.alias("p").join(roots.select(F.col("node").alias("of"), "root"), F.col("p.node") == F.col("of"), "left").select("hub", "p.node", label).checkpoint()
+    open_ = named.groupBy("hub").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("hub").checkpoint()
+    going = named.join(open_, "hub", "left_semi").checkpoint()
+    new = _past_hub(going.select("hub", "node"), words, "novel array<long>, smaller long, larger long", _novelty).join(going, ["hub", "node"]).checkpoint()
+    rare = new.select("hub", "node", "label", F.explode("novel").alias("n"))
+    shared = rare.groupBy("hub", "n").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("hub", "n")
+    held = rare.join(shared, ["hub", "n"]).groupBy("hub", "node").agg(F.count("*").alias("held"))
+    fits = new.drop("novel").join(held, ["hub", "node"], "left").withColumn("held", F.coalesce("held", F.lit(0))).where("held >= larger")
+    return fits.select("hub", "node", "label", (F.col("held") >= F.col("smaller")).alias("small"))
+
+
+def _shared(words: list[bytes], left: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of labelled k-mers in common of each of the first ``left`` texts with each other one, and the number of each text."""
     size = np.array([len(w) // 4 for w in words])
     win, count = wordhash.windows(np.frombuffer(b"".join(words), dtype=np.uint32).astype(np.uint64), np.concatenate([[0], np.cumsum(size)]), K)
     owner = np.repeat(np.arange(len(words)), count)
-    _, column, often = np.unique(_labelled(win, count), return_inverse=True, return_counts=True)
-    some = often[column] > 1
-    owner, column = owner[some], (np.cumsum(often > 1) - 1)[column[some]]
+    _, column = np.unique(_labelled(win, count), return_inverse=True)
+    # Columns that both sides have.
+    sides = [np.bincount(column[owner < left], minlength=len(win)) > 0, np.bincount(column[owner >= left], minlength=len(win)) > 0]
+    common = sides[0] & sides[1]
+    some = common[column]
+    owner, column = owner[some], (np.cumsum(common) - 1)[column[some]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    both = np.zeros((len(words), len(words)), dtype=np.float32)
+    both = np.zeros((left, len(words) - left), dtype=np.float32)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
         a, b = np.searchsorted(column, [at, at + WIDE])
-        part = np.zeros((len(words), WIDE), dtype=np.float32)
+        part = np.zeros((len(words), min(WIDE, int(column[-1]) + 1 - at)), dtype=np.float32)
         part[owner[a:b], column[a:b] - at] = 1
-        both += part @ part.T
+        both += part[:left] @ part[left:].T
     return both, count
 
 
 def _link_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links (hub, cid) that connect all linked texts of two blocks of a bucket, or of one block with itself."""
-    label, block, band = rows["label"].to_numpy(), rows["block"].to_numpy(), int(rows["band"].iloc[0])
-    open_ = np.triu(label[:, None] != label[None, :], 1)
-    if rows["b1"].iloc[0] != rows["b2"].iloc[0]:
-        open_ &= block[:, None] != block[None, :]
-    keys = np.array(rows["keys"].tolist(), dtype=np.int64)
-    for b in range(band):  # pairs that agree in an earlier band meet there
-        open_ &= keys[:, None, b] != keys[None, :, b]
+    """Links (a, b) that connect all linked texts of a block of smaller and a block of larger ones."""
+    rows = rows.sort_values("larger", kind="stable")
+    left = int((~rows["larger"]).sum())
+    label, node = rows["label"].to_numpy(), rows["node"].to_numpy()
     out: list[tuple[int, int]] = []
-    if open_.any():
-        both, count = _shared(rows["words"].tolist())
-        open_ &= both >= (THRESHOLD - 1e-6) * (count[:, None] + count[None, :] - both)
+    if 0 < left < len(rows):
+        both, count = _shared(rows["words"].tolist(), left)
+        x, y = count[:left, None], count[None, left:]
+        first = (x < y) | ((x == y) & (node[:left, None] < node[None, left:]))  # each pair once
+        fits = first & (label[:left, None] != label[None, left:]) & (both >= (THRESHOLD - 1e-6) * (x + y - both))
         text = [np.frombuffer(w, dtype=np.uint32) for w in rows["words"]]
-        cid = rows["cid"].tolist()
         root = {v: v for v in label.tolist()}
 
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for i, j in zip(*(x.tolist() for x in np.nonzero(open_)), strict=True):
-            x, y = find(label[i]), find(label[j])
-            if x != y and compare(text[i], text[j]) >= THRESHOLD:
-                root[x] = y
-                out.append((cid[i], cid[j]))
-    return pd.DataFrame(out, columns=["hub", "cid"], dtype="int64")
-
-
-def _open_links(named: DataFrame, words: DataFrame, roots: DataFrame) -> DataFrame:
-    """(hub, cid) links between components of ``roots`` (node, root) that stand in one bucket."""
-    found = words.select("cid", (F.length("words") / 4).alias("size")).join(named.select("cid", "keys"), "cid").dropDuplicates(["cid"])
-    texts = found.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "keys", "size", F.coalesce("root", "cid").alias("label")).checkpoint()
-    slots = texts.select("cid", "label", F.greatest(F.lit(1 / BLOCK_ROWS), F.col("size") / BLOCK_WORDS).alias("weight"), F.posexplode("keys").alias("band", "k")).withColumn("key", F.xxhash64("band", "k")).drop("k")
-    several = slots.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key")
-    inside = slots.join(several, "key").checkpoint()
-    # Small components share blocks; a large one has blocks of its own, which need not meet each other.
-    parts = inside.groupBy("key", "label").agg(F.sum("weight").alias("w"))
-    layout = parts.groupBy("key").agg(
-        F.ceil(F.coalesce(F.sum(F.when(F.col("w") <= 1, F.col("w"))), F.lit(0.0))).cast("int").alias("small"),
-        F.collect_list(F.when(F.col("w") > 1, F.struct("label", F.ceil("w").cast("int").alias("n")))).alias("large"),
-    )
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["n"])
-    placed = (
-        inside.join(layout, "key")
-        .withColumn("own", F.coalesce(F.get(F.filter("large", lambda x: x["label"] == F.col("label")), F.lit(0))["n"], F.lit(0)))
-        .withColumn("first", F.col("small") + total(F.filter("large", lambda x: x["label"] < F.col("label"))))
-        .withColumn("block", F.when(F.col("own") > 0, F.col("first") + F.pmod(F.xxhash64("cid"), F.greatest("own", F.lit(1)))).otherwise(F.pmod(F.xxhash64("label"), F.greatest("small", F.lit(1)))).cast("int"))
-        .withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("small") + total(F.col("large")) - 1), lambda j: (F.col("own") == 0) | (j < F.col("first")) | (j >= F.col("first") + F.col("own")))))
+        def find(v: int) -> int:
+            while root[v] != v:
+                root[v] = v = root[root[v]]
+            return v
+
+        for i, j in zip(*(v.tolist() for v in np.nonzero(fits)), strict=True):
+            p, q = find(int(label[i])), find(int(label[left + j]))
+            if p != q and compare(text[i], text[left + j]) >= THRESHOLD:
+                root[p] = q
+                out.append((int(node[i]), int(node[left + j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _open_links(pairs: DataFrame, words: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) links between components of ``roots`` (node, root) whose texts stand with one hub of ``pairs`` (hub, node)."""
+    weights = words.select("node", F.greatest(F.lit(1 / BLOCK_ROWS), F.length("words") / 4 / BLOCK_WORDS).alias("weight"))
+    inside = _possible(pairs, words, roots).join(weights, "node").checkpoint()
+    layout = inside.groupBy("hub").agg(
+        F.ceil(F.sum(F.when(F.col("small"), F.col("weight")))).cast("int").alias("smalls"), F.ceil(F.sum("weight")).cast("int").alias("larges"), F.min("label").alias("p"), F.max("label").alias("q")
     )
-    met = placed.select("key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "band", "cid", "label")
-    payload = words.join(texts.select("cid", "keys"), "cid").join(inside.select("cid").distinct(), "cid", "left_semi")
-    return met.join(payload, "cid").groupBy("key", "b1", "b2").applyInPandas(_link_blocks, "hub long, cid long").distinct()
+    layout = layout.where("p <> q and smalls > 0").select("hub", "smalls", "larges").checkpoint()
+    placed = inside.join(layout, "hub").select("hub", "node", "label", "small", "smalls", "larges", F.xxhash64("node").alias("h"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod("h", F.col(n)).cast("int")
+    smaller = placed.where("small").select("hub", own("smalls").alias("s"), upto("larges").alias("l"), F.lit(False).alias("larger"), "node", "label")
+    larger = placed.select("hub", upto("smalls").alias("s"), own("larges").alias("l"), F.lit(True).alias("larger"), "node", "label")
+    return smaller.unionByName(larger).join(words, "node").groupBy("hub", "s", "l").applyInPandas(_link_blocks, "a long, b long").distinct()
+
+
+def _rooted(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, digest, node) of the input, and (node, root, cid, n_copies) of the nodes; ``cid`` is the smallest id of its component."""
+    rows = _sketches(plain).checkpoint()
+    groups = rows.groupBy("node").agg(F.min("id").alias("own"), F.count("*").alias("n_copies"), *[F.first(k).alias(k) for k in _KEYS]).checkpoint()
+    keyed = groups.where(F.col("k0").isNotNull()).select("node", F.posexplode(F.array(*_KEYS)).alias("band", "k"))
+    pairs = _stars(keyed.select(F.xxhash64("band", "k").alias("key"), "node")).checkpoint()
+    wanted = pairs.select("node").union(pairs.select("hub")).distinct().join(groups.select("node", F.col("own").alias("id")), "node").checkpoint()
+    words = _words(plain, wanted).checkpoint()
+    look = lambda hub, text: (compare(hub, text),)
+    seen = _past_hub(pairs, words, "sim double", look).checkpoint()
+    again = _past_hub(_recentred(seen), words, "sim double", look)
+    edges = seen.unionByName(again).where(F.col("sim") >= THRESHOLD).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    roots = components(edges, "a", "b").checkpoint()
+    late = _open_links(pairs, words, roots).checkpoint()
+    if not late.isEmpty():
+        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(late), "a", "b").checkpoint()
+    nodes = groups.select("node", "own", "n_copies").join(roots, "node", "left").select("node", "own", "n_copies", F.coalesce("root", "node").alias("root"))
+    names = nodes.groupBy("root").agg(F.min("own").alias("cid"))
+    return rows.select("id", "digest", "node"), nodes.select("node", "n_copies", "root").join(names, "root")
+
+
+def _ready(docs: DataFrame) -> None:
+    ship(docs.sparkSession)
+    shared_folder(docs.sparkSession)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``class_id`` (smallest id of its near-duplicate class), ``n_copies`` (rows with the same words, itself included)."""
-    spark = docs.sparkSession
-    ship(spark)
-    shared_folder(spark)
-    rows = _sketches(docs, id_col, text_col).checkpoint()
-    groups = rows.groupBy("same").agg(F.min("id").alias("cid"), F.count("*").alias("n_copies"), F.first("keys").alias("keys"))
-    named = groups.where(F.col("cid").isNotNull())
-    members = named.select("cid", F.posexplode("keys").alias("band", "k")).select(F.xxhash64("band", "k").alias("key"), "cid").distinct()
-    pairs = _stars(members).checkpoint()
-    wanted = pairs.select("cid").union(pairs.select("hub")).distinct().join(named.select("cid", "same"), "cid")
-    words = _words(docs, wanted, id_col, text_col).checkpoint()
-    found: list[DataFrame] = []
-    done = _undirected(pairs)
-    for turn in range(3):
-        seen = _verify(pairs, words).checkpoint()
-        found.append(seen.where(F.col("sim") >= THRESHOLD).select("hub", "cid"))
-        if turn == 2:
-            break
-        near = seen.where(F.col("sim") >= NEAR)
-        near = near.join(near.where(F.col("sim") < THRESHOLD).select("hub").distinct(), "hub", "left_semi")
-        more = _stars(_novel_buckets(near)) if turn else _recentred(near)
-        pairs = more.withColumns({"x": F.least("hub", "cid"), "y": F.greatest("hub", "cid")}).join(done, ["x", "y"], "left_anti").dropDuplicates(["x", "y"]).select("hub", "cid").checkpoint()
-        done = done.union(_undirected(pairs))
-    edges = found[0]
-    for f in found[1:]:
-        edges = edges.union(f)
-    roots = components(edges, "hub", "cid")
-    late = _open_links(named, words, roots).checkpoint()
-    if not late.isEmpty():
-        roots = components(roots.select(F.col("root").alias("hub"), F.col("node").alias("cid")).union(late.select("hub", "cid")), "hub", "cid")
-    named_rows = groups.select("same", "cid", "n_copies").join(roots, F.col("cid") == F.col("node"), "left").select("same", F.coalesce("root", "cid").alias("class_id"), "n_copies")
-    return rows.join(named_rows, "same").select(F.col("id").alias("doc_id"), "class_id", "n_copies")
+    _ready(docs)
+    rows, nodes = _rooted(_plain(docs, id_col, text_col))
+    return rows.join(nodes, "node").select(F.col("id").alias("doc_id"), F.col("cid").alias("class_id"), "n_copies")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that name their class, one row each, and documents without an id; all columns of ``docs``."""
-    found = classes(docs, id_col, text_col)
-    keep = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    stay = docs.join(keep, docs[id_col].cast("long") == F.col("_kept_id")).drop("_kept_id").dropDuplicates([id_col])
-    return stay.unionByName(docs.where(docs[id_col].isNull()))
+    """One document of each class, the one with the smallest id, and all documents without an id; all columns of ``docs``."""
+    _ready(docs)
+    rows, nodes = _rooted(_plain(docs, id_col, text_col))
+    some = rows.where(F.col("id").isNotNull()).join(nodes.select("node", "root"), "node").groupBy("root", "id", "digest").agg(F.count("*").alias("times")).checkpoint()
+    first = some.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("stays"))
+    # Rows that go, and rows that stay but repeat; no other row is shuffled.
+    acted = some.join(first, "root").select("id", "digest", "times", (F.struct("id", "digest") == F.col("stays")).alias("stays")).where("not stays or times > 1").select("id", "digest", "stays").checkpoint()
+    mine, h, taken = slim.free("near", docs.columns), slim.free("digest", docs.columns), slim.free("bucket", docs.columns)
+    acted = acted.select(F.col("id").alias(mine), F.col("digest").alias(h), "stays")
+    key = F.xxhash64(docs[id_col], F.xxhash64(docs[text_col]))
+    sided = docs.join(slim.buckets(acted, taken, F.xxhash64(mine, h)), (slim.bucket(key) == F.col(taken)) & docs[id_col].isNotNull(), "left")
+    apart = sided.where(F.col(taken).isNotNull()).withColumn(h, F.xxhash64(F.col(text_col)))
+    gone = acted.where("not stays").select(F.col(mine), F.col(h).alias(slim.free("other", [*docs.columns, h])))
+    left = apart.join(gone, (apart[id_col] == gone[mine]) & (apart[h] == gone[gone.columns[1]]), "left_anti").dropDuplicates([id_col, h])
+    return sided.where(F.col(taken).isNull()).select(*docs.columns).unionByName(left.select(*docs.columns))
