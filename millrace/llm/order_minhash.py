@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import slim, wordhash
 from millrace.llm.components import components
-from millrace.llm.ship import shared_folder, ship
+from millrace.llm.ship import release, shared_folder, ship
 
 K = 5
 TAKE = 2
@@ -60,7 +60,7 @@ BANDS = 10
 THRESHOLD = 0.8
 NEAR = 0.3
 #: A block of an open hub has about so many texts and words, or less.
-BLOCK_ROWS = 256
+BLOCK_ROWS = 128
 BLOCK_WORDS = 1 << 17
 #: Columns of k-mers that are multiplied at once.
 WIDE = 4096
@@ -297,6 +297,7 @@ def _possible(pairs: DataFrame, words: DataFrame, roots: DataFrame) -> DataFrame
     """(``hub``, ``node``, ``label``, ``small``) of the members of open hubs that can be linked with a member of another component; ``small``: as the smaller one."""
     label = F.coalesce("root", F.col("p.node")).alias("label")
     named = pairs.alias("p").join(roots.select(F.col("node").alias("of"), "root"), F.col("p.node") == F.col("of"), "left").select("hub", "p.node", label).checkpoint()
+    # Each of these is written before it is joined on the hub, so that Spark can split a large hub's rows.
     open_ = named.groupBy("hub").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("hub").checkpoint()
     going = named.join(open_, "hub", "left_semi").checkpoint()
     new = _past_hub(going.select("hub", "node"), words, "novel array<long>, smaller long, larger long", _novelty).join(going, ["hub", "node"]).checkpoint()
@@ -380,14 +381,16 @@ def _rooted(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = _stars(keyed.select(F.xxhash64("band", "k").alias("key"), "node")).checkpoint()
     wanted = pairs.select("node").union(pairs.select("hub")).distinct().join(groups.select("node", F.col("own").alias("id")), "node").checkpoint()
     words = _words(plain, wanted).checkpoint()
+    release(plain.sparkSession)
     look = lambda hub, text: (compare(hub, text),)
     seen = _past_hub(pairs, words, "sim double", look).checkpoint()
-    again = _past_hub(_recentred(seen), words, "sim double", look)
+    again = _past_hub(_recentred(seen).checkpoint(), words, "sim double", look)
     edges = seen.unionByName(again).where(F.col("sim") >= THRESHOLD).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    roots = components(edges, "a", "b").checkpoint()
+    roots = components(edges, "a", "b", local=True)
+    release(plain.sparkSession)
     late = _open_links(pairs, words, roots).checkpoint()
     if not late.isEmpty():
-        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(late), "a", "b").checkpoint()
+        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(late), "a", "b", local=True)
     nodes = groups.select("node", "own", "n_copies").join(roots, "node", "left").select("node", "own", "n_copies", F.coalesce("root", "node").alias("root"))
     names = nodes.groupBy("root").agg(F.min("own").alias("cid"))
     return rows.select("id", "digest", "node"), nodes.select("node", "n_copies", "root").join(names, "root")

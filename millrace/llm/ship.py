@@ -8,6 +8,7 @@ the executors.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,10 +17,16 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Bytes of an Arrow batch, so that long texts do not fill a worker's memory by the thousand.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors of this context, once."""
+    """Send the package to the executors of this context, once; bound Arrow batches by bytes where the session leaves that at Spark's default."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, "64m").rstrip("bB") in ("64m", str(64 << 20)):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     top = Path(__file__).resolve().parent.parent
@@ -37,3 +44,12 @@ def shared_folder(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is None:
         # A path without scheme is taken in the cluster's default file system.
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files (and, where it is set to, the checkpoints) of frames that nobody holds any more.
+
+    It does so when the driver's garbage is collected, which in a job of many rounds may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # noqa: SLF001

@@ -12,7 +12,8 @@ from millrace.llm.components import components
 DATA = "/root/testdata/sf0.001"
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [None, 1 << 19, 60])
+def test_components(spark, monkeypatch, local):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(1, 30)] + [(5, 5)]
     group = {}
@@ -26,10 +27,11 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         group[y] = x
-    got = dict(map(tuple, components(spark.createDataFrame([*edges, (None, 1), (2, None)], "x long, y long"), "x", "y").collect()))
+    monkeypatch.setattr("millrace.llm.components.LOCAL_EDGES", local or 0)
+    got = dict(map(tuple, components(spark.createDataFrame([*edges, (None, 1), (2, None)], "x long, y long").repartition(8), "x", "y", bool(local)).collect()))
     for n in group:
         assert got.get(n, n) == find(n)
-    assert components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
+    assert components(spark.createDataFrame([], "x long, y long"), "x", "y", bool(local)).count() == 0
 
 
 # -- URL filters -----------------------------------------------------------------
