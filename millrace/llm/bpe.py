@@ -36,8 +36,9 @@ from millrace.llm.ship import ship
 
 #: Fixed value: the published pre-tokenization pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose encodings a worker remembers; the memo is emptied when full.
-MEMO_WORDS = 450_000
+#: Bytes of words and encodings that a worker remembers, each counted with ``ENTRY`` bytes more; the memo is emptied when full.
+MEMO_BYTES = 64 << 20
+ENTRY = 180
 #: Texts of about so many characters are pre-tokenized together.
 GROUP_CHARS = 1 << 19
 
@@ -75,7 +76,7 @@ class Vocabulary:
 
     def may_follow(self, pair: int) -> bool:
         """True iff BPE can leave the tokens ``pair >> 20`` and ``pair & 0xFFFFF`` side by side."""
-        if len(self.allowed) > 300_000:
+        if len(self.allowed) > 200_000:
             self.allowed.clear()
         out = self.allowed[pair] = self._unmerge(pair >> 20, pair & 0xFFFFF)
         return out
@@ -100,21 +101,32 @@ class Vocabulary:
                 bound, last_left, right = rr, False, self.parts[right][0]
 
 
+def _check(d: dict) -> None:
+    """Refuse definitions whose steps are not the ones done here."""
+    pre = d.get("pre_tokenizer") or {}
+    model = d["model"]
+    odd = [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+    if model.get("type", "BPE") != "BPE" or d.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or odd or model.get("ignore_merges"):
+        raise ValueError("only plain byte-level BPE with the usual pattern is supported")
+
+
 class Encoder:
     """Encodes distinct words once; keeps packed ids by word."""
 
     def __init__(self, definition: str) -> None:
         self.vocab = Vocabulary(definition)
+        _check(json.loads(definition))
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocab.special, key=len, reverse=True))) + ")") if self.vocab.special else None
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, words: set[str]) -> None:
         """Depth-first walk over the trie of the new words."""
         new = words - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO_WORDS:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
-            new = words
+            self.held, new = 0, words
         find, longest = self.vocab.ids.get, self.vocab.longest
         known, ask = self.vocab.allowed.get, self.vocab.may_follow
         coded = sorted((w.encode("utf-8"), w) for w in new)
@@ -148,6 +160,7 @@ class Encoder:
                 token, end = state[end]
                 out.append(token)
             self.memo[word] = np.array(out[::-1], dtype="<u4").tobytes()
+            self.held += ENTRY + len(raw) + 4 * len(out)
             before = raw
 
     def _split(self, text: str) -> list[str]:
@@ -161,8 +174,6 @@ class Encoder:
 
     def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
         """Packed little-endian ids of each text."""
-        for name, i in self.vocab.special.items():
-            self.memo[name] = np.array([i], dtype="<u4").tobytes()
         at = 0
         while at < len(texts):
             group: list[list[str]] = []
@@ -172,7 +183,7 @@ class Encoder:
                 held += len(texts[at] or "")
                 at += 1
             self.learn({w for words in group for w in words} - self.vocab.special.keys())
-            for name, i in self.vocab.special.items():
+            for name, i in self.vocab.special.items():  # the memo may have been emptied
                 self.memo[name] = np.array([i], dtype="<u4").tobytes()
             memo = self.memo
             for words in group:

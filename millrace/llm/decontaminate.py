@@ -11,13 +11,14 @@ matched windows: the same filler of the item must always stand for the same
 filler in the document, and for another one than other fillers do (a
 re-parameterised question).  Where the fillers are equal it is a plain copy.
 
-The benchmark is a stated query set.  It is read in blocks of at most
-``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` bytes, so what is broadcast at a time is bounded however long it
-is; each further block is another pass over the documents.
+The benchmark is a stated query set.  Where it has at most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` bytes, which is
+checked before, its window table is broadcast and the join is a lookup in it.  A larger one is joined by hash, with nothing of it on the driver
+or broadcast: the documents' distinct windows meet the items' windows in a shuffle, places are counted by document and
+item, and only pairs that reach ``SHARE`` are read again for their slots.
 
 Cases: null and empty texts hold no item; an item of fewer than ``K`` words
 has one window, all its words, and is found where a document's own words are
-exactly these; items without words are ignored; equal items are all reported;
+exactly these; items without words are ignored; equal items with different ids are all reported, repeated rows of an item once;
 repeated rows each get their row; other columns are kept by ``clean``; an
 empty benchmark rejects nothing.
 """
@@ -32,11 +33,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import wordhash
-from millrace.llm.ship import ship
+from millrace.llm import slim, wordhash
+from millrace.llm.ship import shared_folder, ship
 
 K = 5
 SHARE = 0.8
+FOUND = "array<struct<item_id:long,share:double,copied:boolean>>"
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
 
@@ -117,7 +119,7 @@ def _windows(words: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """The windows of a block of items: sorted hashes, and for each the (item, place) pairs."""
+    """The windows of some items: sorted hashes, and for each the (item, place) pairs."""
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
         self.ids = [i for i, _ in items]
@@ -193,23 +195,25 @@ def find(texts: list[str | None], table: Table) -> list[list[dict]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    held, size = [], 0
-    # Items arrive one partition at a time; at most one block is held.
-    for r in benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).toLocalIterator():
-        if held and (len(held) >= BLOCK_ITEMS or size + len(r[1]) > BLOCK_BYTES):
-            yield held
-            held, size = [], 0
-        held.append((r[0], r[1]))
-        size += len(r[1])
-    yield held
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``item`` (a hash of id and text), ``item_id``, ``text`` of the usable items."""
+    rows = benchmark.select(benchmark[id_col].cast("long").alias("item_id"), benchmark[text_col].alias("text")).where("item_id is not null and text is not null")
+    return rows.distinct().select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")
+
+
+def _small(items: DataFrame) -> list[tuple[int, str]] | None:
+    """The items if they are few and short enough to be broadcast."""
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    if size["n"] > BLOCK_ITEMS or size["b"] > BLOCK_BYTES:
+        return None
+    return [(r["item_id"], r["text"]) for r in items.collect()]
 
 
 def _lookup(spark: SparkSession, items: list[tuple[int, str]]) -> Callable[[Column], Column]:
-    """A function that finds one block of items, with the block broadcast (``BLOCK_ITEMS`` and ``BLOCK_BYTES`` bound it)."""
+    """A function that finds the items, which are broadcast (``BLOCK_ITEMS`` and ``BLOCK_BYTES`` bound them)."""
     shared = spark.sparkContext.broadcast(items)
 
-    @F.pandas_udf("array<struct<item_id:long,share:double,copied:boolean>>")
+    @F.pandas_udf(FOUND)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = Table(shared.value)
         for texts in batches:
@@ -218,12 +222,54 @@ def _lookup(spark: SparkSession, items: list[tuple[int, str]]) -> Callable[[Colu
     return run
 
 
+def _item_windows(texts: pd.Series) -> pd.Series:
+    out: list[list] = [[] for _ in texts]
+    for n, r in read(list(texts)):
+        out[n] = [{"w": w, "place": p} for w, p in {(w, p) for form in (r.template, r.filler) for p, w in enumerate(_windows(form).view(np.int64).tolist())}]
+    return pd.Series(out, dtype=object)
+
+
+def _text_windows(texts: pd.Series) -> pd.Series:
+    out: list = [[] for _ in texts]
+    for n, r in read(list(texts)):
+        out[n] = np.union1d(_windows(r.template), _windows(r.filler)).view(np.int64).tolist()
+    return pd.Series(out, dtype=object)
+
+
+def _judged(ids: pd.Series, items: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([find([t], Table([(i, x)]))[0] for i, x, t in zip(ids, items, texts, strict=True)], dtype=object)
+
+
+def _by_join(plain: DataFrame, items: DataFrame) -> DataFrame:
+    """(``digest``, ``found``) for the texts of ``plain`` (digest, text) that hold an item."""
+    item_windows, text_windows, judged = F.pandas_udf(_item_windows, "array<struct<w:long,place:int>>"), F.pandas_udf(_text_windows, "array<long>"), F.pandas_udf(_judged, FOUND)
+    windows = items.select("item", F.explode(item_windows("text")).alias("x")).select("item", "x.w", "x.place").checkpoint()
+    total = windows.groupBy("item").agg(F.count_distinct("place").alias("total"))
+    seen = plain.select("digest", F.explode(text_windows("text")).alias("w"))
+    seen = seen.join(slim.buckets(windows, "b", F.xxhash64("w")), slim.bucket(F.xxhash64(seen["w"])) == F.col("b"), "left_semi").distinct()
+    held = seen.join(windows, "w").select("digest", "item", "place").distinct().groupBy("digest", "item").agg(F.count("*").alias("n"))
+    pairs = held.join(total, "item").where(F.col("n") >= SHARE * F.col("total")).select("digest", "item").checkpoint()
+    few = plain.join(slim.buckets(pairs, "b", F.col("digest")), slim.bucket(plain["digest"]) == F.col("b"), "left_semi").join(pairs.select("digest").distinct(), "digest", "left_semi")
+    texts = few.groupBy("digest").agg(F.min("text").alias("text"))
+    both = pairs.join(texts, "digest").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
+    # One entry for each item that a text holds.
+    return both.select("digest", F.explode(judged("item_id", "item_text", "text")).alias("x")).groupBy("digest").agg(F.array_sort(F.collect_list("x")).alias("found"))
+
+
 def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", name: str = "contamination") -> DataFrame:
     """``docs`` with a column of the items each holds: array of item_id, share, copied."""
     spark = docs.sparkSession
     ship(spark)
-    found = [_lookup(spark, items)(F.col(text_col)) for items in _blocks(benchmark, item_col, item_text_col)]
-    return docs.withColumn(name, F.concat(*found))
+    items = _items(benchmark, item_col, item_text_col)
+    small = _small(items)
+    if small is not None:
+        return docs.withColumn(name, _lookup(spark, small)(docs[text_col]))
+    shared_folder(spark)
+    found = _by_join(docs.select(F.xxhash64(docs[text_col]).alias("digest"), docs[text_col].alias("text")), items)
+    mine, got = slim.free("digest", docs.columns), slim.free("found", docs.columns)
+    found = found.select(F.col("digest").alias(mine), F.col("found").alias(got))
+    none = F.array().cast(FOUND)
+    return docs.join(found, F.xxhash64(docs[text_col]) == F.col(mine), "left").select(*[docs[c] for c in docs.columns], F.coalesce(got, none).alias(name))
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -236,7 +282,5 @@ def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with their columns."""
-    name = "contamination"
-    while name in docs.columns:
-        name += "_"
+    name = slim.free("contamination", docs.columns)
     return marked(docs, benchmark, name=name).where(F.size(name) == 0).drop(name)

@@ -26,14 +26,13 @@ the exact repeats of such a long line are dropped in any case.
 What is shuffled is small: hashes of lines and halves (fixed width, combined
 where they are read), and texts only of lines that share a half with another line, and of
 documents that change.  Which those may be is broadcast as a set of at most
-2^``BUCKET_BITS`` hash buckets, whatever the input's size; a bucket that is hit by chance costs a
-row in the shuffle join behind it, no more.
+hash buckets of a fixed number (see ``slim``).
 
 Cases: a null text stays null and has no lines; an empty text has one empty
 line; shorter lines are always kept; a document with a null id takes part
 only in the repeats within itself; rows with the same id count as one document, so
 they lose the same lines; a document never disappears, though its text may
-become empty; all columns of the input are kept; ties go to the smaller id and place.
+become empty; ids may be of any type that has an order; all columns of the input are kept, whatever their names (``report`` needs its own three free); ties go to the smaller id and place.
 """
 
 from __future__ import annotations
@@ -41,14 +40,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import slim
 from millrace.llm.components import components
-from millrace.llm.ship import shared_folder
+from millrace.llm.ship import release, shared_folder
 
 MIN_CHARS = 20
 MAX_DOCS = 6
 NARROW = 4
 SHORT = 3
-BUCKET_BITS = 20
 
 
 def _lines(text: Column) -> Column:
@@ -103,18 +102,9 @@ def near(x: Column, y: Column) -> Column:
     return F.get(F.transform(F.array(end), lambda s: F.when(s["x"].isNotNull() & s["y"].isNotNull(), within_one_edit(s["x"], s["y"])).otherwise(F.lit(False))), F.lit(0))
 
 
-def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BUCKET_BITS)
-
-
-def _buckets(ids: DataFrame, name: str, h: Column) -> DataFrame:
-    """The hash buckets of some hashes, for a broadcast: at most 2^BUCKET_BITS rows of one number."""
-    return F.broadcast(ids.select(_bucket(h).alias(name)).distinct())
-
-
 def _long_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(``id``, ``pos``, ``line``, ``h``) of the long lines of documents with an id."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
     return rows.where(F.length("line") >= MIN_CHARS).withColumn("h", F.xxhash64("line"))
 
 
@@ -182,8 +172,9 @@ def links(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: s
     members = entries.join(_crowded(entries), "key").groupBy("key", "hub", "h", "m", "side").agg(F.min("id").alias("id")).checkpoint()
     # Texts of these lines only, each from one document that has it.
     wanted = members.groupBy("h").agg(F.min("id").alias("id"))
-    some = docs.join(_buckets(wanted, "_b", F.xxhash64("id")), _bucket(F.xxhash64(F.col(id_col).cast("long"))) == F.col("_b"), "left_semi")
-    texts = _long_lines(some, id_col, text_col).join(_buckets(wanted, "_c", F.col("h")), _bucket(F.col("h")) == F.col("_c"), "left_semi").select("id", "h", "line")
+    plain = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    some = plain.join(slim.buckets(wanted, "b", F.xxhash64("id")), slim.bucket(F.xxhash64(plain["id"])) == F.col("b"), "left_semi")
+    texts = _long_lines(some, "id", "text").join(slim.buckets(wanted, "b", F.col("h")), slim.bucket(F.col("h")) == F.col("b"), "left_semi").select("id", "h", "line")
     texts = texts.join(wanted, ["h", "id"], "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     opened = F.when(F.col("side") == 0, F.substring("line", F.col("m") + 1, F.length("line"))).otherwise(_left(F.col("line"), F.length("line") - F.col("m")))
     now = members.join(texts, "h").select("key", "hub", "h", opened.alias("mid"), "m")
@@ -200,6 +191,7 @@ def links(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: s
         if deeper.isEmpty():
             break
         now = deeper.join(_crowded(deeper), "key")
+        release(docs.sparkSession)
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
@@ -225,21 +217,23 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, report: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with the text thinned; ``report`` adds ``n_lines``, ``n_kept``, ``n_near``."""
-    marks = dropped(docs, id_col, text_col, max_docs).select(F.col("id").alias("_line_id"), F.col("gone").alias("_line_gone"), F.col("n_near").alias("_line_near")).checkpoint()
+    mine, gone, near, taken = (slim.free(n, docs.columns) for n in ("line_id", "line_gone", "line_near", "line_bucket"))
+    marks = dropped(docs, id_col, text_col, max_docs).select(F.col("id").alias(mine), F.col("gone").alias(gone), F.col("n_near").alias(near)).checkpoint()
     # Documents whose bucket has no mark are not shuffled.
-    touched = _buckets(marks, "_line_b", F.xxhash64("_line_id"))
-    sided = docs.join(touched, _bucket(F.xxhash64(docs[id_col].cast("long"))) == F.col("_line_b"), "left")
-    apart = sided.where(F.col("_line_b").isNotNull()).drop("_line_b").join(marks, F.col(id_col).cast("long") == F.col("_line_id"), "left")
-    same = sided.where(F.col("_line_b").isNull()).drop("_line_b")
+    touched = slim.buckets(marks, taken, F.xxhash64(mine))
+    sided = docs.join(touched, slim.bucket(F.xxhash64(docs[id_col])) == F.col(taken), "left")
+    apart = sided.where(F.col(taken).isNotNull()).drop(taken).join(marks, F.col(id_col) == F.col(mine), "left")
+    same = sided.where(F.col(taken).isNull()).drop(taken)
     same = same.withColumns({c: F.lit(None).cast(marks.schema[c].dataType) for c in marks.columns})
-    return _thinned(same, docs.columns, text_col, report).unionByName(_thinned(apart, docs.columns, text_col, report))
+    thin = lambda df: _thinned(df, docs.columns, text_col, gone, near, report)
+    return thin(same).unionByName(thin(apart))
 
 
-def _thinned(joined: DataFrame, columns: list[str], text_col: str, report: bool) -> DataFrame:
+def _thinned(joined: DataFrame, columns: list[str], text_col: str, gone: str, near: str, report: bool) -> DataFrame:
     # Named before any column of that name is made anew: inside a lambda Spark would prefer the new one.
     text = joined[text_col]
     lines = _lines(text)
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("_line_gone", F.array().cast("array<int>")))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(gone, F.array().cast("array<int>")))
     # The array of lines is handed to the inner function as a value, or it would be split anew for every place.
     left = F.get(F.transform(F.array(lines), lambda every: F.transform(places, lambda i: F.get(every, i))), F.lit(0))
     # Short lines are told apart by their place, so that only long ones collapse.
@@ -247,5 +241,5 @@ def _thinned(joined: DataFrame, columns: list[str], text_col: str, report: bool)
     kept = F.transform(tagged, lambda x: F.substring(x, F.locate(":", x) + 1, F.length(x)))
     thinned = F.when(text.isNotNull(), F.array_join(kept, "\n"))
     cols = [thinned.alias(c) if c == text_col else joined[c] for c in columns]
-    extra = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(kept), F.lit(0)).cast("long").alias("n_kept"), F.coalesce("_line_near", F.lit(0)).cast("long").alias("n_near")] if report else []
+    extra = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(kept), F.lit(0)).cast("long").alias("n_kept"), F.coalesce(near, F.lit(0)).cast("long").alias("n_near")] if report else []
     return joined.select(*cols, *extra)

@@ -18,7 +18,7 @@ What counts as an insult is learned: of words, and of word beginnings of 4 to
 7 bytes, the ones that stand significantly more often in toxic than in other
 labelled training texts become arcs, weighed by their log odds.  Fixed lists
 give the other classes and a few insults to start from.  The fit uses at most
-``FIT_ROWS`` labelled training rows (the smallest by hash of the id); ids with
+``FIT_ROWS`` labelled training rows (the smallest by hash of the id; of several texts with one id the least); ids with
 ``crc32(id as text) mod 5 = 0`` are held out and never learned from.  Labels,
 language, source and id are no inputs of a score.
 
@@ -229,8 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     shared_folder(spark)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    # The sample's ids and labels: at most fit_rows rows.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").repartition(16).checkpoint()
+    # The sample's ids and labels: at most fit_rows rows, and one text for each id.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic").repartition(16).checkpoint()
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

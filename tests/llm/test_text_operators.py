@@ -73,7 +73,7 @@ def test_memo_limits_do_not_change_results(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = [f"word{i} other{i % 7} é{i}" for i in range(300)]
     want = list(bpe.Encoder(open(path).read()).encode_many(texts))
-    monkeypatch.setattr(bpe, "MEMO_WORDS", 10)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 2000)
     monkeypatch.setattr(bpe, "GROUP_CHARS", 50)
     assert list(bpe.Encoder(open(path).read()).encode_many(texts)) == want
 
@@ -247,11 +247,18 @@ def test_leaks_equal_brute_force(spark):
         assert got[d].item_ids == [i for i, x in enumerate(items) if len(grams(x) & grams(t)) >= 0.8 * len(grams(x))]
 
 
-def test_benchmark_in_blocks(spark, monkeypatch):
+def test_large_benchmarks_are_joined_by_hash(spark, monkeypatch):
+    r = random.Random(8)
+    names = ["Anna", "Bob", "Carl", "Dora", "Emil"]
+    make = lambda n: f"In task {n} {r.choice(names)} buys {r.randrange(99)} apples for {r.randrange(9)} dollars, kind {n} of question, and asks {r.choice(names)} how much {n} is"
+    items = spark.createDataFrame([(i, make(f"q{i % 40}")) for i in range(60)] + [(7, None), (None, "x"), (90, "only three words"), (3, make("q3"))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"Well. {make(f'q{i % 50}')}. Yes", "x", "y") for i in range(80)] + [(91, "only three words", "", ""), (92, None, "", ""), (93, "", "", ""), (5, "nothing", "", "")], "doc_id long, text string, digest string, found string")
+    want = sorted((x.doc_id, x.text or "", [tuple(y) for y in x.contamination]) for x in decontaminate.marked(docs, items).collect())
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
-    items = spark.createDataFrame([(i, f"question {i} asks for the answer number {i} again and {i} more") for i in range(5)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "Well question 3 asks for the answer number 3 again and 3 more ok")], "doc_id long, text string")
-    assert by_id(decontaminate.flagged(docs, items))[1].item_ids == [0, 1, 2, 3, 4]
+    joined = decontaminate.marked(docs, items)
+    assert sorted((x.doc_id, x.text or "", [tuple(y) for y in x.contamination]) for x in joined.collect()) == want
+    assert joined.columns == [*docs.columns, "contamination"] and sum(bool(w[2]) for w in want) > 20
+    assert decontaminate.clean(docs, items).columns == docs.columns
 
 
 def test_grammar():
@@ -267,6 +274,54 @@ def test_grammar():
     assert m.clause([(0, T, 1), (1, N, 1)]) == 0.0
 
 
+def plain_evidence(text, words, stems):
+    """Sum, maximum and number of matched clauses, by rules over word lists instead of a machine."""
+    lists = {w: n for n, ws in enumerate((toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS)) for w in ws if re.fullmatch(r"\w+", w)}
+    totals = []
+    for clause in re.split(r"[.!?;\n]", text or ""):
+        total, seen, threat, negated, aimed, reported = 0.0, [], None, None, None, False
+        for at, w in enumerate(re.findall(r"\w+", clause.lower())):
+            weight = max([words.get(w, 0.0), *(v for s, v in stems.items() if w.startswith(s) and len(w) > len(s))])
+            kind = None if weight else lists.get(w)
+            if weight or kind == 0:
+                factor = toxicity.QUOTED if reported else 1.0
+                if negated is not None and at - negated <= 3:
+                    factor *= toxicity.NEGATED
+                seen.append(at)
+            if weight:
+                if aimed is not None and at - aimed <= 5:
+                    factor *= toxicity.AIMED
+                total += weight * factor
+            elif kind == 0:
+                threat = at
+            elif kind == 1:
+                if threat is not None and at - threat <= 3:
+                    total, threat = total + 1.0, None
+                aimed = at
+            elif kind == 2:
+                negated = at
+            elif kind == 3:
+                reported = True
+        if total:
+            totals.append(total)
+    return [sum(totals), max(totals, default=0.0), len(totals)]
+
+
+def test_evidence_equals_plain_rules():
+    r = random.Random(12)
+    words, stems = {"zorg": 2.0, "blat": 0.7, "idiot": 2.5}, {"vrum": 1.5, "krack": 3.0}
+    hashes = lambda d: (np.array([h for h, _ in d]), np.array([w for _, w in d]))
+    stem = lambda s: int(next(wordhash.blocks([s + "x"])).prefix(len(s))[0])
+    arcs = {0: hashes(sorted((np.uint64(wordhash.hash_of(w)), v) for w, v in words.items()))}
+    for s, v in stems.items():
+        arcs[len(s)] = hashes([(np.uint64(stem(s)), v)])
+    vocabulary = ["zorg", "Zorg", "blat", "vrumm", "vrum", "kracker", "kill", "hurt", "you", "your", "not", "never", "said", "wrote", *[f"f{i}" for i in range(12)], ".", ";", "!", "\n"]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(40))) for _ in range(600)] + [None, "", "you kill you kill you"]
+    got = toxicity.evidence(texts, toxicity.Model(arcs), toxicity.Machine(toxicity.grammar()))
+    for t, x in zip(texts, got, strict=True):
+        assert np.allclose(x, plain_evidence(t, words, stems)), (t, x, plain_evidence(t, words, stems))
+
+
 def test_toxicity_edge_cases(spark):
     texts = [*ODD, "you are an idiot", "not an idiot. fine", "x. " * 3000 + "you moron"]
     docs, all_texts = table(spark, texts)
