@@ -3,8 +3,9 @@
 Vectors are scaled to length one and cut in halves; each half has a codebook
 of its own (k-means on a bounded sample), and the pair of nearest codewords is
 a vector's cell in the product grid.  A vector visits cells in order of how
-near they can come (multi-sequence order over the two halves) and stops at the
-target radius.
+near they can come and stops at the
+target radius: both halves' codewords are sorted by their bounds, and a heap walks the grid of the two sequences
+from the best pair on, so only visited cells and their neighbours are ever looked at.
 
 The order is by a lower bound that cannot be wrong: to lie nearer to codeword
 ``c'`` than to its own ``c``, a half must move at least
@@ -27,12 +28,14 @@ vector and label are not read.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.components import components
 from millrace.llm.ship import shared_folder, ship
@@ -43,6 +46,8 @@ REACH = 1.0
 #: Most classes on which the codebooks are fit, and vectors in a block.
 FIT_ROWS = 4096
 BLOCK = 256
+#: Codewords a half, at least and at most.
+MIN_CODEWORDS = 8
 MAX_CODEWORDS = 64
 
 
@@ -68,6 +73,23 @@ def _bounds(half: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return near, np.maximum(low, 0) ** 2
 
 
+def visits(low1: np.ndarray, low2: np.ndarray, radius: float) -> list[int]:
+    """Multi-sequence traversal: cells of the product grid whose two bounds add up to ``radius`` or less, nearest first."""
+    o1, o2 = np.argsort(low1, kind="stable").tolist(), np.argsort(low2, kind="stable").tolist()
+    a, b = low1[o1].tolist(), low2[o2].tolist()
+    out, heap = [], [(a[0] + b[0], 0, 0)]
+    while heap:
+        low, i, j = heapq.heappop(heap)
+        if low > radius:
+            break
+        out.append(o1[i] * len(b) + o2[j])
+        if i + 1 < len(a):
+            heapq.heappush(heap, (a[i + 1] + b[j], i + 1, j))
+        if not i and j + 1 < len(b):
+            heapq.heappush(heap, (a[0] + b[j + 1], 0, j + 1))
+    return out
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -101,8 +123,8 @@ def link(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", la
     valid = marked.where("sound").select("vec_id", "label", "vec", F.xxhash64("label", "vec").alias("h"))
     classes = valid.groupBy("h", "label", "vec").agg(F.min("vec_id").alias("cid"), F.count("*").alias("mult")).checkpoint()
     total = classes.count()
-    # So that a cell of one of some labels has about a block of vectors: a visit then costs as much to send as to compare.
-    k = int(np.clip(round((total / (12 * BLOCK)) ** 0.5), 1, MAX_CODEWORDS))
+    # As the table grows, so does the grid, and cells stay below a block of vectors by label.
+    k = int(np.clip(round((total / (2 * BLOCK)) ** 0.5), MIN_CODEWORDS, MAX_CODEWORDS))
     sample = classes.orderBy(F.xxhash64("cid")).limit(FIT_ROWS).select(F.col("vec").cast("array<double>").alias("vec")).toPandas()
     books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dims, group in sample.groupby(sample["vec"].map(len)):
@@ -111,35 +133,33 @@ def link(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", la
         books[int(dims)] = (_codebook(x[:, :half], min(k, len(x))), _codebook(x[:, half:], min(k, len(x))) if dims > 1 else np.zeros((1, 0)))
     shared = spark.sparkContext.broadcast(books)  # 2 * MAX_CODEWORDS half vectors for each length in the sample
     far = 2 - 2 * threshold
+    # Single numbers are sent as such, and compared in double precision.
+    kind = np.dtype(np.float32 if isinstance(rows.schema[vec_col].dataType.elementType, T.FloatType) else np.float64)
 
     @F.pandas_udf("cell long, visits array<long>, packed binary")
     def place(vecs: pd.Series) -> pd.DataFrame:
-        cells, visits, packed = [0] * len(vecs), [None] * len(vecs), [b""] * len(vecs)
+        cells, calls, packed = [0] * len(vecs), [None] * len(vecs), [b""] * len(vecs)
         by_size: dict[int, list[int]] = {}
         for n, v in enumerate(vecs):
             by_size.setdefault(len(v), []).append(n)
         for dims, at in by_size.items():
-            raw = np.stack([np.asarray(vecs.iat[n], dtype=np.float64) for n in at])
+            raw = np.stack([np.asarray(vecs.iat[n], dtype=kind) for n in at])
             first = dims << 32  # lengths never meet
             if dims in shared.value:
                 one, two = shared.value[dims]
-                x = _unit(raw)
+                x = _unit(raw.astype(np.float64))
                 half = max(1, dims // 2)
                 (n1, low1), (n2, low2) = _bounds(x[:, :half], one), _bounds(x[:, half:], two)
                 own = n1 * len(two) + n2
-                # Multi-sequence order: by the sum of the halves' bounds; cells past the radius are not visited.
-                low = (low1[:, :, None] + low2[:, None, :]).reshape(len(x), -1)
             else:  # a length the sample lacks: one cell, visited by all
-                own, low = np.zeros(len(at), dtype=int), np.zeros((len(at), 1))
-            order = np.argsort(low, axis=1, kind="stable")
-            inside = (low <= far * reach * reach + 1e-9).sum(1)
+                own, low1, low2 = np.zeros(len(at), dtype=int), np.zeros((len(at), 1)), np.zeros((len(at), 1))
             for i, n in enumerate(at):
                 cells[n] = first + int(own[i])
-                visits[n] = (order[i, : inside[i]] + first).tolist()
+                calls[n] = [first + c for c in visits(low1[i], low2[i], far * reach * reach + 1e-9)]
                 packed[n] = raw[i].tobytes()
-        return pd.DataFrame({"cell": cells, "visits": visits, "packed": packed})
+        return pd.DataFrame({"cell": cells, "visits": calls, "packed": packed})
 
-    placed = classes.select("cid", "mult", "label", place(F.col("vec").cast("array<double>")).alias("p")).select("cid", "mult", "label", "p.*").checkpoint()
+    placed = classes.select("cid", "mult", "label", place(F.col("vec")).alias("p")).select("cid", "mult", "label", "p.*").checkpoint()
     held = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     visiting = placed.select("cid", "label", "packed", F.explode("visits").alias("cell"))
     calls = visiting.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
@@ -154,8 +174,8 @@ def link(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", la
             out: list[tuple[int, int | None, int]] = []
             for p_ids, p_vecs, i_ids, i_mult, i_vecs in zip(b["p_ids"], b["p_vecs"], b["i_ids"], b["i_mult"], b["i_vecs"], strict=True):
                 left, right, mult = (np.asarray(x, dtype=np.int64) for x in (p_ids, i_ids, i_mult))
-                x = _unit(np.frombuffer(b"".join(p_vecs), dtype=np.float64).reshape(len(left), -1))
-                y = _unit(np.frombuffer(b"".join(i_vecs), dtype=np.float64).reshape(len(right), -1))
+                x = _unit(np.frombuffer(b"".join(p_vecs), dtype=kind).reshape(len(left), -1).astype(np.float64))
+                y = _unit(np.frombuffer(b"".join(i_vecs), dtype=kind).reshape(len(right), -1).astype(np.float64))
                 linked = (x @ y.T >= threshold) & (left[:, None] != right[None, :])
                 if linked.any():
                     n = linked @ mult

@@ -392,7 +392,7 @@ def _rooted(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not late.isEmpty():
         roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(late), "a", "b", local=True)
     nodes = groups.select("node", "own", "n_copies").join(roots, "node", "left").select("node", "own", "n_copies", F.coalesce("root", "node").alias("root"))
-    names = nodes.groupBy("root").agg(F.min("own").alias("cid"))
+    names = nodes.groupBy("root").agg(F.min("own").alias("cid")).checkpoint()  # written, so that Spark can split a large class
     return rows.select("id", "digest", "node"), nodes.select("node", "n_copies", "root").join(names, "root")
 
 
@@ -413,7 +413,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     _ready(docs)
     rows, nodes = _rooted(_plain(docs, id_col, text_col))
     some = rows.where(F.col("id").isNotNull()).join(nodes.select("node", "root"), "node").groupBy("root", "id", "digest").agg(F.count("*").alias("times")).checkpoint()
-    first = some.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("stays"))
+    first = some.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("stays")).checkpoint()
     # Rows that go, and rows that stay but repeat; no other row is shuffled.
     acted = some.join(first, "root").select("id", "digest", "times", (F.struct("id", "digest") == F.col("stays")).alias("stays")).where("not stays or times > 1").select("id", "digest", "stays").checkpoint()
     mine, h, taken = slim.free("near", docs.columns), slim.free("digest", docs.columns), slim.free("bucket", docs.columns)

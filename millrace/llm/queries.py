@@ -129,12 +129,13 @@ with d as (select row_number() over () as rn, doc_id, source, coalesce(text, '')
 m as (select rn, doc_id, source, {", ".join(kinds)} from d),
 f as (select rn, doc_id, source, list_sort({every}) as s from m),
 e as (select rn, doc_id, source, unnest(list_transform(s, lambda x: x.value)) as value from f),
-o as (select value, count(distinct coalesce(source, '')) as owners from e group by 1),
-w as (select rn, count(*) filter (where owners >= {secret_scan.WIDE_OWNERS} or regexp_matches(lower(value), {q(secret_scan.PLACEHOLDER)})) as n_shared,
-             count(*) filter (where not (owners >= {secret_scan.WIDE_OWNERS} or regexp_matches(lower(value), {q(secret_scan.PLACEHOLDER)}))) as n_owner_specific
+o as (select value, count(distinct coalesce(source, '')) as owners, count(distinct coalesce(source, '') || ':' || coalesce(doc_id::varchar, '')) as repos from e group by 1),
+w as (select rn, max(owners) as n_owners, max(repos) as n_repos, count(*) filter (where owners >= {secret_scan.WIDE_OWNERS} or repos >= {secret_scan.WIDE_REPOS} or regexp_matches(lower(value), {q(secret_scan.PLACEHOLDER)})) as n_shared,
+             count(*) filter (where not (owners >= {secret_scan.WIDE_OWNERS} or repos >= {secret_scan.WIDE_REPOS} or regexp_matches(lower(value), {q(secret_scan.PLACEHOLDER)}))) as n_owner_specific
       from e join o using (value) group by 1)
 select doc_id, {counts}, sha256(coalesce({show(base)}, '')) as base_sha256, coalesce({show("s")}, '') as spans,
-       coalesce(n_shared, 0)::bigint as n_shared, coalesce(n_owner_specific, 0)::bigint as n_owner_specific
+       coalesce(n_shared, 0)::bigint as n_shared, coalesce(n_owner_specific, 0)::bigint as n_owner_specific,
+       coalesce(n_owners, 0)::bigint as n_owners, coalesce(n_repos, 0)::bigint as n_repos
 from f left join w using (rn)
 """
 
@@ -157,6 +158,10 @@ from v left join n on n.rn = v.rn left join c on c.vec_id = v.vec_id
 """
 
 
+# DuckDB's distance counts bytes, so characters of several bytes are looked at one by one.
+_SAME = "(levenshtein(a.line, b.line) <= 1 or (levenshtein(a.line, b.line) <= 4 and len(list_filter(range(1, a.n + 1), lambda i: substr(a.line, i, 1) <> substr(b.line, i, 1))) <= 1))"
+_LONGER = "(levenshtein(a.line, b.line) <= 1 or (levenshtein(a.line, b.line) <= 4 and len(list_filter(range(0, a.n + 1), lambda i: left(b.line, i) || substr(b.line, i + 2) = a.line)) > 0))"
+
 #: All pairs of distinct long lines of near length, and classes by reachability.
 _OP5_SQL = f"""
 with recursive o as (
@@ -164,9 +169,9 @@ with recursive o as (
 ), u as (
   select distinct line, length(line) as n from o where length(line) >= {line_dedup.MIN_CHARS}
 ), l as (
-  select a.line as x, b.line as y from u a join u b on b.n = a.n and a.line <> b.line where (left(a.line, a.n // 2) = left(b.line, a.n // 2) or right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)) and levenshtein(a.line, b.line) <= 1
+  select a.line as x, b.line as y from u a join u b on b.n = a.n and a.line <> b.line where (left(a.line, a.n // 2) = left(b.line, a.n // 2) or right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)) and {_SAME}
   union all
-  select a.line, b.line from u a join u b on b.n = a.n + 1 where (left(a.line, a.n // 2) = left(b.line, a.n // 2) or right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)) and levenshtein(a.line, b.line) <= 1
+  select a.line, b.line from u a join u b on b.n = a.n + 1 where (left(a.line, a.n // 2) = left(b.line, a.n // 2) or right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)) and {_LONGER}
 ), e as (select x, y from l union select y, x from l),
 r(x, z) as (select x, y from e union select r.x, e.y from r join e on e.x = r.z),
 c as (select x as line, least(x, min(z)) as root from r group by x),

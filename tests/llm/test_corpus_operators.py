@@ -134,6 +134,21 @@ def test_embeddings_in_many_blocks(spark, monkeypatch):
     assert [got[v] for v, _, _ in rows] == brute_links(rows)
 
 
+def test_multi_sequence_visits():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = r.random(r.integers(1, 12)), r.random(r.integers(1, 12))
+        a[r.integers(len(a))] = b[r.integers(len(b))] = 0
+        got = embedding_dedup.visits(a, b, 0.6)
+        every = (a[:, None] + b[None, :]).ravel()
+        assert sorted(got) == np.flatnonzero(every <= 0.6).tolist() and (np.diff(every[got]) >= 0).all()
+    # Codebooks of the smallest size leave most cells of clustered vectors unvisited.
+    x = embedding_dedup._unit(r.normal(size=(40, 64))[r.integers(40, size=2000)] + r.normal(size=(2000, 64)) * 0.1)
+    words = [embedding_dedup._codebook(h, embedding_dedup.MIN_CODEWORDS) for h in (x[:, :32], x[:, 32:])]
+    low = [embedding_dedup._bounds(h, w)[1] for h, w in zip((x[:, :32], x[:, 32:]), words, strict=True)]
+    assert np.mean([len(embedding_dedup.visits(p, q, 0.04)) for p, q in zip(*low, strict=True)]) < 0.5 * len(words[0]) * len(words[1])
+
+
 # -- near-duplicates ------------------------------------------------------------------
 
 

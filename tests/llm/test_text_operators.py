@@ -89,9 +89,13 @@ def test_token_counts(spark, monkeypatch):
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 2048)
     assert token_counts.count_tokens(docs, path).count() == len(all_texts)
     assert token_counts.count_tokens(docs.limit(0), path).count() == 0
-    monkeypatch.setattr(token_counts, "MEMO_PIECES", 3)
+    monkeypatch.setattr(token_counts, "MEMO_BYTES", 300)
+    monkeypatch.setattr(token_counts, "GROUP_BYTES", 40)
     counter = token_counts.Counter(open(path).read())
-    assert [counter.count(t) for t in texts] == [got[i].n_tokens for i in range(len(texts))]
+    assert counter.split and counter.count(texts) == [got[i].n_tokens for i in range(len(texts))]
+    whole = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    counter = token_counts.Counter(whole)
+    assert not counter.split and counter.count(texts) == [len(Tokenizer.from_str(whole).encode(t or "", add_special_tokens=False).ids) for t in texts]
     assert list(token_counts.byte_balanced(["aa", "b", "cccc", "d"], 3)) == [["aa", "b"], ["cccc"], ["d"]]
 
 
@@ -178,8 +182,21 @@ def test_secrets_equal_plain_patterns(spark):
 def test_ownership(spark):
     rows = [(i, "token=sharedsecret1", f"owner{i % 4}") for i in range(8)] + [(20, "token=mineonly12345", "me"), (21, "token=mineonly12345", "me"), (22, "password=changeme99", None), (23, "token=mineonly12345 token=sharedsecret1", "me")]
     got = by_id(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")))
-    standing = {i: (r.n_shared, r.n_owner_specific) for i, r in got.items()}
-    assert standing[0] == (1, 0) and standing[20] == (0, 1) and standing[22] == (1, 0) and standing[23] == (1, 1)
+    standing = {i: (r.n_shared, r.n_owner_specific, r.n_owners, r.n_repos) for i, r in got.items()}
+    assert standing[0] == (1, 0, 5, 9) and standing[20] == (0, 1, 1, 3) and standing[22] == (1, 0, 1, 1) and standing[23] == (1, 1, 5, 9)
+    many = [(i, "token=copiedbyoneowner", "one") for i in range(secret_scan.WIDE_REPOS)]
+    assert {(r.n_shared, r.n_owner_specific) for r in secret_scan.scan(spark.createDataFrame(many, "doc_id long, text string, source string")).collect()} == {(1, 0)}
+
+
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    text = " ".join(f"token=abcdefgh{i:06d}" for i in range(100_000))
+    began = time.time()
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    spans = secret_scan.candidates(docs).select("spans.start", "spans.end").first()
+    assert list(spans["start"]) == [21 * i for i in range(100_000)] and list(spans["end"])[-1] == len(text)
+    assert time.time() - began < 60
 
 
 # -- words, templates, grammar -----------------------------------------------------
