@@ -185,7 +185,7 @@ def near_corpus(seed):
 def test_near_duplicates(spark, seed):
     texts = near_corpus(seed)
     rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(900, ""), (901, None), (902, "..."), (903, "one two"), (904, "One, TWO!"), (905, "two one"), (906, "a " * 20_000), (907, "a " * 20_000), (0, " ".join(texts[0])), (None, " ".join(texts[0]))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as id", "'y' as same")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as id", "'y' as node", "1 as near", "2 as digest", "3 as bucket", "4 as other", "5 as root", "6 as cid")
     got = {}
     result = order_minhash.classes(docs).collect()
     assert len(result) == len(rows)
@@ -214,6 +214,15 @@ def test_near_duplicates(spark, seed):
     assert order_minhash.classes(docs.limit(0)).count() == 0
 
 
+def test_ids_of_any_type(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [("b", one), ("b", two), ("a", one + " more"), (None, one), ("c", two), ("c", two), ("d", two), ("d", two), ("A", "alone here"), ("A", "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((x.doc_id or "", x.text) for x in order_minhash.deduplicate(docs).collect())
+    assert got == sorted([("", one), ("a", one + " more"), ("b", two), ("A", "alone here")])
+    assert sorted((x.doc_id or "", x.class_id, x.n_copies) for x in order_minhash.classes(docs).collect()) == sorted([("b", "a", 2), ("b", "b", 5), ("a", "a", 1), ("", "a", 2), ("c", "b", 5), ("c", "b", 5), ("d", "b", 5), ("d", "b", 5), ("A", "A", 2), ("A", "A", 2)])
+
+
 def letters(seed, many, words=200, slots=12, values=4):
     """Form letters: one template, the values of its slots shared by many of them."""
     r = random.Random(seed)

@@ -92,3 +92,14 @@ def test_thinning(spark):
     assert got[None, "e"].text == common
     assert L.deduplicate(docs).count() == len(rows) and L.deduplicate(docs).columns == docs.columns
     assert L.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_names_and_ids_of_any_kind(spark):
+    common = "this line is in every document"
+    rows = [(f"d{i}", f"{common}\nown line number {i} {'x' * i}") for i in range(9)]
+    extra = ["line_id", "line_gone", "line_near", "line_bucket", "line_bucket_", "id", "pos", "line", "h", "b", "gone", "key", "hub"]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", *[f"{n} as {c}" for n, c in enumerate(extra)])
+    out = L.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.text.count(common) for r in out.collect()) == [0] * 8 + [1]
+    assert {r.doc_id for r in out.collect()} == {r[0] for r in rows}
