@@ -17,15 +17,42 @@ def stable_hash(value: Any, seed: int = 0) -> str:
     return hashlib.blake2b(f"{seed}\n{encode(value)}".encode(), digest_size=16).hexdigest()
 
 
+def _holds_time(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_time(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _holds_time(kind.keyType) or _holds_time(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_time(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.TimestampType, T.TimestampNTZType))
+
+
+def _exact(c: Column, kind: T.DataType) -> Column:
+    """A nested value whose times are exact: JSON would cut them to milliseconds."""
+    if not _holds_time(kind):
+        return c
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(kind, T.TimestampNTZType):
+        return c.cast("string")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _exact(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)]))
+        return _exact(F.map_entries(c), entries)
+    return F.when(c.isNotNull(), F.struct(*[_exact(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+
+
 def _plain(name: str, kind: T.DataType) -> Column:
     """A column as something that hashes without loss."""
     c = F.col(f"`{name}`")
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return c.cast("string")  # keeps -0.0 apart from 0.0; all NaNs are one
     if isinstance(kind, T.MapType):
-        return F.to_json(F.array_sort(F.map_entries(c)), {"ignoreNullFields": "false"})
+        entries = T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)]))
+        return F.to_json(F.array_sort(_exact(F.map_entries(c), entries)), {"ignoreNullFields": "false"})
     if isinstance(kind, (T.ArrayType, T.StructType)):
-        return F.to_json(c, {"ignoreNullFields": "false"})
+        return F.to_json(_exact(c, kind), {"ignoreNullFields": "false"})
     if isinstance(kind, T.VariantType):
         return F.to_json(c)
     return c

@@ -7,10 +7,11 @@ enter as references, never as copies; nodes hold aggregates.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.definition import Style, executor, query
@@ -281,14 +282,15 @@ def projection_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     @executor(All)
     def every(key: object, ctx: Context) -> DataFrame:
-        parts = ctx.map([Nation(k) for k in ctx.setting("nations")])
+        keys = sorted(r[0] for r in ctx.query(Rev()).select("c_nationkey").distinct().collect())  # one row for each nation
+        parts = ctx.map([Nation(k) for k in keys])
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out.groupBy("c_nationkey").agg(F.sum("n_customers").alias("n_customers"), F.sum("cents").alias("balance_cents"))
 
     e = engine(spark).register(revenue, nation, every)
-    put(e, {Setting("nations"): [1, 3, 5, 7, 11], Table("customer"): ref(sf_dir, "customer", "c_nationkey <> 3")})
+    put(e, {Table("customer"): ref(sf_dir, "customer", "c_nationkey <> 3")})
     e.query(All())
     put(e, {Table("customer"): ref(sf_dir, "customer")})
     return e.query(All())
@@ -443,14 +445,102 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query(Days())
 
 
+def late_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly windows of events; a tenth of the events come late, in a second stream, and are folded into windows long past."""
+    Counts, Hours = _node("HourCounts"), _node("Hours")
+
+    @executor(Hours)
+    def hours(key: object, ctx: Context) -> DataFrame:
+        return ctx.query(Counts()).groupBy("hour").agg(F.sum("n").alias("n_events"), F.sum("c").alias("value_cents"))
+
+    def fold(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        new = batch.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum(cents("value")).alias("c")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "n", "c")
+        return new if old is None else old.unionByName(new).groupBy("hour").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+
+    e = engine(spark).register(hours)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    for n, which in enumerate(("event_id % 10 <> 0", "event_id % 10 = 0")):
+        stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").where(which)
+        bridge.run(stream, e, Counts(), fold, f"late_{n}_{uuid.uuid4().hex}", f"{e.store.root}/stream{n}", after=lambda: e.query(Hours()) and None).awaitTermination()
+    return e.query(Hours())
+
+
+# -- further relational shapes ---------------------------------------------------
+
+
+def _after_half(spark: SparkSession, sf_dir: str, name: str, half: str, f: Callable[[DataFrame, Context], DataFrame]) -> DataFrame:
+    """An executor over one table that is set to half of its rows first, then to all."""
+    Result = _node(f"{name}.{half}")
+    e = engine(spark).register(executor(Result)(lambda key, ctx: f(ctx.table(name), ctx)))
+    for where in (half, None):
+        put(e, {Table(name): ref(sf_dir, name, where)})
+        out = e.query(Result())
+    return out
+
+
+def window_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change of value from each event of a user to the next, summed by type of event."""
+    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+    def diffs(events: DataFrame, ctx: Context) -> DataFrame:
+        c = cents("value")
+        changed = events.select("event_type", (c - F.lag(c).over(by_user)).alias("d")).where("d is not null")
+        return changed.groupBy("event_type").agg(F.count("*").alias("n_changes"), F.sum("d").alias("change_cents"), F.max("d").alias("most_cents"))
+
+    return _after_half(spark, sf_dir, "events", "event_id % 2 = 0", diffs)
+
+
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each purchase the user's last view before it: one sort by user and time, no join."""
+    past = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+
+    def viewed(events: DataFrame, ctx: Context) -> DataFrame:
+        view = F.when(F.col("event_type") == "view", F.col("event_id"))
+        return events.where("event_type in ('view', 'purchase')").select("event_id", "event_type", F.last(view, ignorenulls=True).over(past).alias("view_id")).where("event_type = 'purchase'").select("event_id", "view_id")
+
+    return _after_half(spark, sf_dir, "events", "event_id % 3 = 0", viewed)
+
+
+def rollup_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def totals(lines: DataFrame, ctx: Context) -> DataFrame:
+        return lines.rollup("l_returnflag", "l_linestatus").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n_lines"), F.sum(cents("l_extendedprice")).alias("price_cents"))
+
+    return _after_half(spark, sf_dir, "lineitem", "l_linenumber < 4", totals)
+
+
+def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of a JSON text, by way of SQL."""
+
+    def fields(events: DataFrame, ctx: Context) -> DataFrame:
+        return ctx.spark.sql("select event_type, count(k) as n_keys, sum(k) as sum_k, min(k) as min_k, max(k) as max_k from (select event_type, cast(get_json_object(props, '$.k') as bigint) as k from {events}) group by event_type", events=events)
+
+    return _after_half(spark, sf_dir, "events", "event_id % 5 = 0", fields)
+
+
+def nested_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of times that differ by a microsecond are other values."""
+    Times, Last = _node("NestedTimes"), _node("LastTimes")
+
+    def times(micros: int) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.array(F.max("ts") + F.expr(f"make_dt_interval(0, 0, 0, {micros} / 1e6)")).alias("times"))
+
+    e = engine(spark).register(executor(Last)(lambda key, ctx: ctx.query(Times()).select("event_type", F.date_format(F.get("times", F.lit(0)), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_ts"))))
+    for micros in (0, 1):
+        put(e, {Times(): times(micros)})
+        out = e.query(Last())
+    return out
+
+
 # -- graphs of rows ----------------------------------------------------------
 
 
 def foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges (caller, callee): orders -> customer -> nation -> region."""
+    """Edges (caller, callee): lineitem -> orders -> customer -> nation -> region; lines that agree in order and number are one."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     edge = lambda df, a, ka, b, kb: df.select(F.concat(F.lit(a), F.col(ka).cast("string")).alias("caller"), F.concat(F.lit(b), F.col(kb).cast("string")).alias("callee"))
-    return edge(t("orders"), "o", "o_orderkey", "c", "o_custkey").unionByName(edge(t("customer"), "c", "c_custkey", "n", "c_nationkey")).unionByName(edge(t("nation"), "n", "n_nationkey", "r", "n_regionkey"))
+    lines = t("lineitem").select("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line")).distinct()
+    parts = [(lines, "l", "line", "o", "l_orderkey"), (t("orders"), "o", "o_orderkey", "c", "o_custkey"), (t("customer"), "c", "c_custkey", "n", "c_nationkey"), (t("nation"), "n", "n_nationkey", "r", "n_regionkey")]
+    return functools.reduce(DataFrame.unionByName, [edge(*p) for p in parts])
 
 
 def dirty_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -469,7 +559,7 @@ def tfc_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'P'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))
+    roots = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'").select(F.concat(F.lit("l"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("id"))
     return graph_frames.breadth_first(foreign_keys(spark, sf_dir), roots).groupBy("depth").agg(F.count("*").alias("n_nodes"))
 
 
@@ -485,10 +575,10 @@ def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_month": flagship,
     **{f.__name__: f for f in (cold_lookup, input_update_agg, input_unchanged, update_fn_append, safe_division, abs_sum_cutoff, firewall_clamp_chain, diamond_firewalls, conditional_dep, projection_slices)},
-    **{f.__name__: f for f in (mean_variance, dynamic_keys, external_refresh, scc_default, unordered_group, interned_dedup, stream_sessions, dirty_closure, firewall_boundary_closure, tfc_sets, graph_snapshot, graph_export)},
+    **{f.__name__: f for f in (mean_variance, dynamic_keys, external_refresh, scc_default, unordered_group, interned_dedup, stream_sessions, late_batch, window_diff, asof_join, rollup_sales, json_fields, nested_change, dirty_closure, firewall_boundary_closure, tfc_sets, graph_snapshot, graph_export)},
 }
 
-_FK = "with e as (select 'o' || o_orderkey as caller, 'c' || o_custkey as callee from orders union all select 'c' || c_custkey, 'n' || c_nationkey from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation)"
+_FK = "with e as (select distinct 'l' || l_orderkey || '-' || l_linenumber as caller, 'o' || l_orderkey as callee from lineitem union all select 'o' || o_orderkey, 'c' || o_custkey from orders union all select 'c' || c_custkey, 'n' || c_nationkey from customer union all select 'n' || n_nationkey, 'r' || n_regionkey from nation)"
 
 SQL: dict[str, str] = {
     "top_month": "select strftime(o_orderdate, '%Y-%m') as month, sum(round(l_extendedprice * (1 - l_discount) * 100)::bigint)::bigint as revenue_cents, count(*) as n_lines from lineitem join orders on l_orderkey = o_orderkey group by 1 order by revenue_cents desc, month limit 12",
@@ -501,7 +591,7 @@ SQL: dict[str, str] = {
     "firewall_clamp_chain": "select l_returnflag, sum(2 * least(abs(l_quantity)::bigint, 40))::bigint as doubled from lineitem group by 1",
     "diamond_firewalls": "select nation, coalesce(c, 0)::bigint as customer_cents, coalesce(s, 0)::bigint as supplier_cents from (select c_nationkey as nation, sum(round(c_acctbal * 100)::bigint)::bigint as c from customer group by 1) full join (select s_nationkey as nation, sum(round(s_acctbal * 100)::bigint)::bigint as s from supplier group by 1) using (nation)",
     "conditional_dep": "select day(ts)::int as day, count(*) as n_events from events where event_type = 'purchase' group by 1",
-    "projection_slices": "select c_nationkey, count(*)::bigint as n_customers, sum(round(c_acctbal * 100)::bigint)::bigint as balance_cents from customer where c_nationkey in (1, 3, 5, 7, 11) group by 1",
+    "projection_slices": "select c_nationkey, count(*)::bigint as n_customers, sum(round(c_acctbal * 100)::bigint)::bigint as balance_cents from customer group by 1",
     "mean_variance": "with m as (select sum(p_size)::bigint // count(*) as mean_size from part) select any_value(mean_size) as mean_size, sum((p_size - mean_size) * (p_size - mean_size))::bigint // count(*) as variance from part, m",
     "dynamic_keys": "select event_type, count(*) as n_events from events group by 1",
     "external_refresh": "select upper(lang) as lang, count(*) as n_docs, sum(n_chars)::bigint as n_chars from documents group by 1",
@@ -509,9 +599,15 @@ SQL: dict[str, str] = {
     "unordered_group": "select month(o_orderdate)::int as month, count(*) as n_orders, sum(round(o_totalprice * 100)::bigint)::bigint as total_cents from orders group by 1",
     "interned_dedup": "select lang, count(*) as n_rows, count(distinct md5(text)) as n_texts, true as same from documents group by 1",
     "stream_sessions": "select ts::date::varchar as day, event_type, count(*)::bigint as n_events from events group by 1, 2",
+    "late_batch": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, count(*)::bigint as n_events, sum(round(value * 100)::bigint)::bigint as value_cents from events group by 1",
+    "window_diff": "with d as (select event_type, round(value * 100)::bigint - lag(round(value * 100)::bigint) over (partition by user_id order by ts, event_id) as d from events) select event_type, count(*) as n_changes, sum(d)::bigint as change_cents, max(d) as most_cents from d where d is not null group by 1",
+    "asof_join": "with w as (select event_id, event_type, last_value(case when event_type = 'view' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as view_id from events where event_type in ('view', 'purchase')) select event_id, view_id from w where event_type = 'purchase'",
+    "rollup_sales": "select l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::bigint as level, count(*) as n_lines, sum(round(l_extendedprice * 100)::bigint)::bigint as price_cents from lineitem group by rollup (l_returnflag, l_linestatus)",
+    "json_fields": "select event_type, count(k) as n_keys, sum(k)::bigint as sum_k, min(k) as min_k, max(k) as max_k from (select event_type, regexp_extract(props, '\"k\": *(-?[0-9]+)', 1)::bigint as k from events) group by 1",
+    "nested_change": "select event_type, strftime(max(ts) + interval 1 microsecond, '%Y-%m-%d %H:%M:%S.%f') as last_ts from events group by 1",
     "dirty_closure": _FK.replace("with e", "with recursive e") + ", r(caller, callee, step) as (select caller, callee, 1 from e where callee = 'r2' union all select e.caller, e.callee, r.step + 1 from e join r on e.callee = r.caller) select step, count(*) as n_edges, count(distinct callee) as n_callees from r group by 1",
     "firewall_boundary_closure": "select 'n' || n_nationkey as caller, 'r2' as callee, 1 as step from nation where n_regionkey = 2",
-    "tfc_sets": "select firewall, sum(n)::bigint as n_callers from (select 'n' || c_nationkey as firewall, count(*) as n from customer group by 1 union all select 'n' || c_nationkey, count(*) from orders join customer on o_custkey = c_custkey group by 1) group by 1",
-    "graph_snapshot": _FK.replace("with e", "with recursive e") + ", r(id, depth) as (select 'o' || o_orderkey, 0 from orders where o_orderstatus = 'P' union select e.callee, r.depth + 1 from e join r on e.caller = r.id) select depth, count(*) as n_nodes from r group by 1",
+    "tfc_sets": "select firewall, sum(n)::bigint as n_callers from (select 'n' || c_nationkey as firewall, count(*) as n from customer group by 1 union all select 'n' || c_nationkey, count(*) from orders join customer on o_custkey = c_custkey group by 1 union all select 'n' || c_nationkey, count(distinct (l_orderkey, l_linenumber)) from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by 1) group by 1",
+    "graph_snapshot": _FK.replace("with e", "with recursive e") + ", r(id, depth) as (select distinct 'l' || l_orderkey || '-' || l_linenumber, 0 from lineitem where l_returnflag = 'R' union select e.callee, r.depth + 1 from e join r on e.caller = r.id) select depth, count(*) as n_nodes from r group by 1",
     "graph_export": "select * from (values ('normal', 0, false, 1), ('firewall', 1, false, 0), ('input', 2, true, 0), ('input', 2, true, 0)) t(kind, depth, is_input, n_firewalls)",
 }

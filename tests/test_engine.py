@@ -403,3 +403,191 @@ def test_random_sessions_equal_recomputation(spark, tmp_path):
                 for i, v in state.items():
                     s.set_input(Var(i), v)
             assert e.query(Top()) == f.query(Top())
+
+
+# -- more projection shapes ------------------------------------------------------
+
+
+def maps(engine, *names):
+    """Firewalls of maps over Var: name i maps n to Var(100 * i + n)."""
+    types = [no_field(n) for n in names]
+    reads = lambda i: lambda k, c: {n: c.query(Var(100 * i + n)) for n in range(4)}
+    engine.register(*[simple(t, reads(i), style=Style.FIREWALL) for i, t in enumerate(types)])
+    put(engine, **{f"v{100 * i + n}": n + 1 for i in range(len(names)) for n in range(4)})
+    return types
+
+
+def test_projection_of_two_firewalls(engine):
+    A, B = maps(engine, "TwoA", "TwoB")
+    Pair, Sum = key_type("TwoPair"), no_field("TwoSum")
+    pair = simple(Pair, lambda k, c: (c.query(A())[k.n], c.query(B())[k.n]), style=Style.PROJECTION)
+    total = simple(Sum, lambda k, c: sum(sum(c.query(Pair(n))) for n in range(4)))
+    engine.register(pair, total)
+    assert engine.query(Sum()) == 20
+    put(engine, v2=30)
+    assert engine.query(Sum()) == 47
+    assert (pair.runs, total.runs) == (8, 2)
+    put(engine, v2=30, v100=1)
+    assert engine.query(Sum()) == 47 and total.runs == 2
+    put(engine, v2=3, v102=30)  # one slice changes in both, and its sum does not
+    assert engine.query(Sum()) == 47 and total.runs == 3
+
+
+def test_chained_projections(engine):
+    (A,) = maps(engine, "ChainA")
+    One, Two, Three, Sum = key_type("ChainOne"), key_type("ChainTwo"), key_type("ChainThree"), no_field("ChainSum")
+    one = simple(One, lambda k, c: c.query(A())[k.n], style=Style.PROJECTION)
+    two = simple(Two, lambda k, c: c.query(One(k.n)) % 10, style=Style.PROJECTION)
+    three = simple(Three, lambda k, c: c.query(Two(k.n)) * 2, style=Style.PROJECTION)
+    total = simple(Sum, lambda k, c: sum(c.query(Three(n)) for n in range(4)))
+    engine.register(one, two, three, total)
+    assert engine.query(Sum()) == 20
+    put(engine, v0=11)  # the second projection absorbs it
+    assert engine.query(Sum()) == 20
+    assert (one.runs, two.runs, three.runs, total.runs) == (8, 5, 4, 1)
+    put(engine, v0=12)
+    assert engine.query(Sum()) == 22
+    assert (two.runs, three.runs, total.runs) == (6, 5, 2)
+
+
+def test_absolute_chain(engine):
+    (A,) = maps(engine, "AbsA")
+    One, Abs, Next, Use = key_type("AbsOne"), key_type("AbsAbs"), key_type("AbsNext"), no_field("AbsUse")
+    one = simple(One, lambda k, c: c.query(A())[k.n], style=Style.PROJECTION)
+    absolute = simple(Abs, lambda k, c: abs(c.query(One(k.n))), style=Style.PROJECTION)
+    after = simple(Next, lambda k, c: c.query(Abs(k.n)) + 1)
+    use = simple(Use, lambda k, c: [c.query(Next(n)) for n in range(4)])
+    engine.register(one, absolute, after, use)
+    assert engine.query(Use()) == [2, 3, 4, 5]
+    put(engine, v1=-2)
+    assert engine.query(Use()) == [2, 3, 4, 5] and (absolute.runs, after.runs, use.runs) == (5, 4, 1)
+    put(engine, v1=-7)
+    assert engine.query(Use()) == [2, 8, 4, 5] and (absolute.runs, after.runs, use.runs) == (6, 5, 2)
+
+
+def test_mixed_diamond(engine):
+    (A,) = maps(engine, "MixA")
+    Left, Wall, Right, Top = key_type("MixLeft"), no_field("MixWall"), key_type("MixRight"), no_field("MixTop")
+    left = simple(Left, lambda k, c: c.query(A())[k.n], style=Style.PROJECTION)
+    wall = simple(Wall, lambda k, c: {n: v // 10 for n, v in c.query(A()).items()}, style=Style.FIREWALL)
+    right = simple(Right, lambda k, c: c.query(Wall())[k.n], style=Style.PROJECTION)
+    top = simple(Top, lambda k, c: (c.query(Left(0)), c.query(Right(1)), c.query(Var(3))))
+    engine.register(left, wall, right, top)
+    assert engine.query(Top()) == (1, 0, 4)
+    put(engine, v1=5)  # the second firewall and both slices hold
+    assert engine.query(Top()) == (1, 0, 4) and (wall.runs, right.runs, top.runs) == (2, 1, 1)
+    put(engine, v1=50)
+    assert engine.query(Top()) == (1, 5, 4) and (right.runs, top.runs) == (2, 2)
+    put(engine, v0=9, v3=8)
+    assert engine.query(Top()) == (9, 5, 8) and top.runs == 3
+
+
+def test_sandwich(engine):
+    (A,) = maps(engine, "SandA")
+    Lower, Middle, Upper, Use = key_type("SandLower"), no_field("SandMiddle"), key_type("SandUpper"), no_field("SandUse")
+    lower = simple(Lower, lambda k, c: c.query(A())[k.n], style=Style.PROJECTION)
+    middle = simple(Middle, lambda k, c: {n: c.query(Lower(n)) ** 2 for n in range(3)}, style=Style.FIREWALL)
+    upper = simple(Upper, lambda k, c: c.query(Middle())[k.n], style=Style.PROJECTION)
+    use = simple(Use, lambda k, c: c.query(Upper(0)) + c.query(Upper(2)))
+    engine.register(lower, middle, upper, use)
+    assert engine.query(Use()) == 10
+    put(engine, v3=77)  # no slice that the second firewall reads
+    assert engine.query(Use()) == 10 and (middle.runs, upper.runs, use.runs) == (1, 2, 1)
+    put(engine, v0=-1)  # its square holds
+    assert engine.query(Use()) == 10 and (middle.runs, use.runs) == (2, 1)
+    put(engine, v1=5)  # a slice that nobody uses
+    assert engine.query(Use()) == 10 and (middle.runs, use.runs) == (3, 1)
+    put(engine, v2=4)
+    assert engine.query(Use()) == 17 and use.runs == 2
+
+
+# -- depth, failure and cancellation -----------------------------------------------
+
+
+def test_long_chains(engine):
+    Step = key_type("LongStep")
+    step = simple(Step, lambda k, c: c.query(Step(k.n - 1)) + 1 if k.n else c.query(Var(0)))
+    engine.register(step)
+    put(engine, v0=5)
+    assert engine.query(Step(2000)) == 2005
+    put(engine, v0=6)
+    assert engine.query(Step(2000)) == 2006 and step.runs == 4002
+
+
+def test_a_failing_member_of_a_group_means_recompute(engine):
+    Part, Whole = key_type("GroupPart"), no_field("GroupWhole")
+
+    def part(k, c):
+        value = c.query(Var(k.n))
+        if value < 0:
+            raise ValueError("negative")
+        return value
+
+    engine.register(simple(Part, part), simple(Whole, lambda k, c: sum(c.map([Part(n) for n in range(c.query(Var(9)))]))))
+    put(engine, v0=1, v1=2, v2=3, v9=3)
+    assert engine.query(Whole()) == 6
+    put(engine, v2=-3, v9=2)
+    assert engine.query(Whole()) == 3
+    put(engine, v9=3)
+    with pytest.raises(ValueError, match="negative"):
+        engine.query(Whole())
+
+
+def test_cancelled_contexts_leave_no_trace(engine):
+    import threading
+    import time
+
+    from millrace.operators.engine import Cancelled
+
+    Slow, Top = no_field("CancelSlow"), no_field("CancelTop")
+    slow = simple(Slow, lambda k, c: c.spark.range(1).count() if not c.query(Var(0)) else c.spark.sql("select sum(a.id * b.id % 7) from range(40000) a cross join range(40000) b").first()[0])
+    top = simple(Top, lambda k, c: c.query(Slow()) + 1)
+    engine.register(slow, top)
+    put(engine, v0=1)
+    ctx, seen = engine.tracked(), []
+
+    def ask():
+        try:
+            ctx.query(Top())
+        except BaseException as e:
+            seen.append(e)
+
+    thread = threading.Thread(target=ask)
+    thread.start()
+    while not slow.runs:
+        time.sleep(0.05)
+    time.sleep(1)
+    began = time.time()
+    ctx.cancel()
+    thread.join(60)
+    ctx.close()
+    assert not thread.is_alive() and time.time() - began < 30 and isinstance(seen[0], Cancelled)
+    with pytest.raises(Cancelled):
+        raise seen[0]
+    put(engine, v0=0)
+    assert engine.query(Top()) == 2 and not engine.running
+
+
+def test_reopened_cycles_and_crashes(spark, tmp_path):
+    from millrace.operators.engine import Engine
+
+    A, B = no_field("ReopenA"), no_field("ReopenB")
+    made = lambda: (simple(A, lambda k, c: c.query(B()) + 1, cycle_value=lambda: 7), simple(B, lambda k, c: c.query(A()) + 1, cycle_value=lambda: 9))
+    path = str(tmp_path / "state")
+    with Engine(spark, path) as e:
+        e.register(*made())
+        put(e, v0=1)
+        assert (e.query(A()), e.query(B())) == (7, 9)
+    with Engine(spark, path) as e:
+        e.register(*made())
+        assert e.recheck(A()) and e.recheck(B()) and len(e.graph.nodes) == 3
+        files, folder = e.store.files, e.state.folder
+    # A crash after the next state, before its manifest; and one before older ones are deleted.
+    files.write(f"{folder}/state-99.jsonl", "half a li")
+    assert len(Engine(spark, path).graph.nodes) == 3
+    newest = max(n for n in files.names(folder) if n.startswith("manifest-"))
+    files.write(f"{folder}/manifest-0.json", files.read(f"{folder}/{newest}"))
+    with Engine(spark, path) as e:
+        put(e, v0=2)
+    with Engine(spark, path) as e:
+        assert e.query(Var(0)) == 2 and len([n for n in files.names(folder) if not n.startswith(".")]) == 2

@@ -84,3 +84,34 @@ def test_interner():
     gc.collect()
     assert i.get_from_hash(list, digest) is None
     assert i.vacuum() == 2 and len(i) == 0
+
+
+NESTED = {
+    "array<timestamp>": "array(timestamp'2024-01-01 00:00:00.00000{}')",
+    "array<timestamp_ntz>": "array(timestamp_ntz'2024-01-01 00:00:00.00000{}')",
+    "struct": "named_struct('a', timestamp'2024-01-01 00:00:00.00000{}', 'b', array(1))",
+    "map value": "map('k', timestamp'2024-01-01 00:00:00.00000{}')",
+    "map key": "map(timestamp'2024-01-01 00:00:00.00000{}', 1)",
+    "deep": "array(named_struct('m', map(1, array(timestamp_ntz'0001-01-01 00:00:00.00000{}'))))",
+    "decimal": "array(cast('1.00000{}' as decimal(20, 6)))",
+    "double": "array(1.000000000000001D + {}e-15D)",
+    "binary": "array(cast('{}' as binary))",
+    "interval": "array(interval '0.00000{}' second)",
+}
+
+
+@pytest.mark.parametrize("kind", NESTED)
+def test_nested_values_differ_to_the_last_digit(spark, kind):
+    from millrace.functions.fingerprint import frame_fingerprint
+
+    one, two, again = (frame_fingerprint(spark.sql(f"select {NESTED[kind].format(d)} as x")) for d in (1, 2, 1))
+    assert one == again != two
+
+
+def test_nested_nulls_are_values(spark):
+    from millrace.functions.fingerprint import frame_fingerprint
+
+    texts = ["array(timestamp'2024-01-01', null)", "array(timestamp'2024-01-01')", "array(null, timestamp'2024-01-01')", "cast(null as array<timestamp>)", "cast(array() as array<timestamp>)"]
+    assert len({frame_fingerprint(spark.sql(f"select {t} as x")) for t in texts}) == len(texts)
+    structs = ["named_struct('a', timestamp'2024-01-01')", "named_struct('a', cast(null as timestamp))", "cast(null as struct<a:timestamp>)"]
+    assert len({frame_fingerprint(spark.sql(f"select {t} as x")) for t in structs}) == len(structs)
