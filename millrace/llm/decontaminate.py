@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import slim, wordhash
-from millrace.llm.ship import shared_folder, ship
+from millrace.llm.ship import shared_folder, ship, tidy
 
 K = 5
 SHARE = 0.8
@@ -218,6 +218,7 @@ def _lookup(spark: SparkSession, items: list[tuple[int, str]]) -> Callable[[Colu
         table = Table(shared.value)
         for texts in batches:
             yield pd.Series(find(list(texts), table), dtype=object)
+        tidy()
 
     return run
 

@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import slim, wordhash
 from millrace.llm.components import components
-from millrace.llm.ship import release, shared_folder, ship
+from millrace.llm.ship import release, shared_folder, ship, tidy
 
 K = 5
 TAKE = 2
@@ -221,6 +221,7 @@ def _sketches(plain: DataFrame) -> DataFrame:
                     nodes.append(_node(h[cuts[n] : cuts[n + 1]]))
                     keys.append(next(found) if count[n] else None)
             yield pd.DataFrame({"node": nodes, "keys": keys})
+        tidy()
 
     return plain.select("id", "digest", run("text").alias("s")).select("id", "digest", "s.node", *[F.get("s.keys", F.lit(n)).alias(k) for n, k in enumerate(_KEYS)])
 
@@ -237,6 +238,7 @@ def _words(plain: DataFrame, wanted: DataFrame) -> DataFrame:
                     own = h[cuts[n] : cuts[n + 1]]
                     out.append((_node(own), (own >> np.uint64(32)).astype(np.uint32).tobytes()))
             yield pd.DataFrame(out, columns=["node", "words"])
+        tidy()
 
     # Only documents whose id falls in the bucket of a wanted one are read as words.
     some = plain.join(slim.buckets(wanted, "b", F.xxhash64("id")), slim.bucket(F.xxhash64(plain["id"])) == F.col("b"), "left_semi")

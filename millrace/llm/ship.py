@@ -8,6 +8,7 @@ the executors.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import zipfile
@@ -20,13 +21,18 @@ _SHIPPED: set[str] = set()
 #: Bytes of an Arrow batch, so that long texts do not fill a worker's memory by the thousand.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows that a Parquet reader decodes at once; Spark's 4,096 are tens of megabytes of long texts for each task.
+READ_ROWS = 512
+_READ = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors of this context, once; bound Arrow batches by bytes where the session leaves that at Spark's default."""
+    """Send the package to the executors of this context, once; make batches of texts smaller where the session leaves them at Spark's defaults."""
     sc = spark.sparkContext
     if spark.conf.get(_BATCH, "64m").rstrip("bB") in ("64m", str(64 << 20)):
         spark.conf.set(_BATCH, str(BATCH_BYTES))
+    if spark.conf.get(_READ, "4096") == "4096":
+        spark.conf.set(_READ, str(READ_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     top = Path(__file__).resolve().parent.parent
@@ -53,3 +59,14 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+
+
+def tidy() -> None:
+    """In a worker, at the end of a task: give memory that is free back, for the worker lives on."""
+    import ctypes
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)

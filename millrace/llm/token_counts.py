@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.ship import ship
+from millrace.llm.ship import ship, tidy
 
 #: Bytes of text handed to the encoder at once.
 BATCH_BYTES = 1 << 18
@@ -130,6 +130,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         counter = counter_of(definition.value, split_at_space)
         for texts in batches:
             yield pd.Series(counter.count(list(texts)), dtype="int64")
+        tidy()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(

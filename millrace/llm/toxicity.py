@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import wordhash
-from millrace.llm.ship import shared_folder, ship
+from millrace.llm.ship import shared_folder, ship, tidy
 
 FIT_ROWS = 12_000
 #: Likelihood-ratio statistic that a learned arc must reach, and most learned arcs.
@@ -282,6 +282,7 @@ def score(docs: DataFrame, model: Model) -> Column:
         for texts in batches:
             z = _inputs(evidence(list(texts), shared.value, machine)) @ np.array(shared.value.curve)
             yield pd.Series(np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9))
+        tidy()
 
     return run(docs["text"])
 
