@@ -20,7 +20,11 @@ bits, one for each diagonal of the band.
 
 Links are closed to classes.  Lines of at least ``MIN_CHARS`` characters whose
 class occurs in more than ``MAX_DOCS`` documents are boilerplate: only the
-first occurrence (smallest document id, then place) stays.  Within a document
+first occurrence (smallest document id, then place) stays.  Passages, lines of
+at least ``PASSAGE_WORDS`` words, are thinned from the second document on, but not
+in a document that is a near copy of the one with the first occurrence (``SIMILAR`` of
+their windows of ``WINDOW`` words agree): a whole copy is left to near-dedup, which
+could not tell it from what would remain.  Within a document
 the exact repeats of such a long line are dropped in any case.
 
 What is shuffled is small: hashes of lines and halves (fixed width, combined
@@ -46,6 +50,9 @@ from millrace.llm.ship import release, shared_folder
 
 MIN_CHARS = 20
 MAX_DOCS = 6
+PASSAGE_WORDS = 50
+WINDOW = 5
+SIMILAR = 0.8
 NARROW = 4
 SHORT = 3
 
@@ -54,6 +61,10 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _words(text: Column) -> Column:
+    return F.split(text, "[ \t\r\n]+", -1)
+
+
 def _left(s: Column, n: Column) -> Column:
     return F.substring(s, F.lit(1), n)
 
@@ -109,7 +120,7 @@ def _long_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def indexed(lines: DataFrame) -> DataFrame:
-    """(``id``, ``pos``, ``h``, ``m``, ``keys``): the index and probe keys of each line, without its text."""
+    """(``id``, ``pos``, ``h``, ``m``, ``passage``, ``keys``): the index and probe keys of each line, without its text."""
     n = F.length("line")
     m = F.floor(n / 2).cast("int")
     even = n % 2 == 0
@@ -120,7 +131,8 @@ def indexed(lines: DataFrame) -> DataFrame:
 
     own = [key(m, 0), key(m, 1)]
     probe = [F.when(even, key(m - 1, s)) for s in (0, 1)]
-    return lines.select("id", "pos", "h", m.alias("m"), F.array(*own, *probe).alias("keys"))
+    passage = F.size(_words(F.col("line"))) >= PASSAGE_WORDS
+    return lines.select("id", "pos", "h", m.alias("m"), passage.alias("passage"), F.array(*own, *probe).alias("keys"))
 
 
 def _crowded(entries: DataFrame) -> DataFrame:
@@ -198,20 +210,45 @@ def links(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: s
     return out.distinct()
 
 
+def _windows(text: Column) -> Column:
+    """The distinct hashes of a text's windows of ``WINDOW`` words; a shorter text is one window."""
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (WINDOW - 1), F.lit(1)))
+    every = lambda w: F.array_distinct(F.transform(starts(w), lambda i: F.xxhash64(F.slice(w, i, WINDOW))))
+    return F.get(F.transform(F.array(F.transform(_words(text), lambda x: F.xxhash64(x))), every), F.lit(0))
+
+
+def near_copies(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Those of ``pairs`` (``id``, ``first_id``) whose texts agree in ``SIMILAR`` of their windows; of several texts of an id, the greatest counts."""
+    wanted = pairs.select(F.explode(F.array("id", "first_id")).alias("id")).distinct()
+    plain = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    some = plain.join(slim.buckets(wanted, "b", F.xxhash64("id")), slim.bucket(F.xxhash64(plain["id"])) == F.col("b"), "left_semi")
+    texts = some.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    sets = texts.select("id", _windows(F.col("text")).alias("w")).withColumn("n", F.size("w")).checkpoint()
+    mine = sets.select("id", F.col("n").alias("mine"))
+    theirs = sets.select(F.col("id").alias("first_id"), F.col("n").alias("theirs"))
+    # Sets of too different sizes cannot agree enough, and are not sent anywhere.
+    fair = pairs.join(mine, "id").join(theirs, "first_id").where(F.least("mine", "theirs") >= SIMILAR * F.greatest("mine", "theirs"))
+    sided = fair.join(sets.select("id", F.col("w").alias("x")), "id").join(sets.select(F.col("id").alias("first_id"), F.col("w").alias("y")), "first_id")
+    both = F.size(F.array_intersect("x", "y"))
+    return sided.select("id", "first_id", "mine", "theirs", both.alias("both")).where(F.col("both") >= SIMILAR * (F.col("mine") + F.col("theirs") - F.col("both"))).select("id", "first_id")
+
+
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> DataFrame:
     """(``id``, ``gone``, ``n_near``): by document, the places of its boilerplate lines, and how many of its lines have a near, different line."""
     shared_folder(docs.sparkSession)
     table = indexed(_long_lines(docs, id_col, text_col)).checkpoint()
     roots = components(links(docs, table, id_col, text_col), "a", "b")
     classes = roots.select(F.col("node").alias("h"), "root").unionByName(roots.select(F.col("root").alias("h"), "root").distinct()).checkpoint()
-    spots = table.select("id", "pos", "h")
+    spots = table.select("id", "pos", "h", "passage")
     # Only lines that occur often enough, or have a near line, can be in a class of so many documents.
-    often = spots.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("h")
-    slim = spots.join(often.unionByName(classes.select("h")).distinct(), "h").join(classes, "h", "left").select("id", "pos", "h", F.coalesce("root", "h").alias("class"), F.col("root").isNotNull().alias("near")).checkpoint()
-    by_class = slim.groupBy("class", "id").agg(F.min("pos").alias("pos")).groupBy("class").agg(F.count("*").alias("docs"), F.min("id").alias("first_id")).where(F.col("docs") > max_docs)
-    first = by_class.join(slim.groupBy("class", "id").agg(F.min("pos").alias("first_pos")), (by_class["class"] == slim["class"]) & (by_class["first_id"] == slim["id"])).select(by_class["class"], "first_id", "first_pos")
-    hit = slim.join(first, "class", "left")
-    gone = F.col("first_id").isNotNull() & ~((F.col("id") == F.col("first_id")) & (F.col("pos") == F.col("first_pos")))
+    often = spots.groupBy("h").agg(F.count("*").alias("n"), F.bool_or("passage").alias("passage")).where((F.col("n") > max_docs) | (F.col("passage") & (F.col("n") > 1))).select("h")
+    slim = spots.join(often.unionByName(classes.select("h")).distinct(), "h").join(classes, "h", "left").select("id", "pos", "h", "passage", F.coalesce("root", "h").alias("class"), F.col("root").isNotNull().alias("near")).checkpoint()
+    by_class = slim.groupBy("class", "id").agg(F.bool_or("passage").alias("passage")).groupBy("class").agg(F.count("*").alias("docs"), F.min("id").alias("first_id"), F.bool_or("passage").alias("passage")).where((F.col("docs") > max_docs) | (F.col("passage") & (F.col("docs") > 1)))
+    first = by_class.join(slim.groupBy("class", "id").agg(F.min("pos").alias("first_pos")), (by_class["class"] == slim["class"]) & (by_class["first_id"] == slim["id"])).select(by_class["class"], "first_id", "first_pos", (F.col("docs") <= max_docs).alias("few"))
+    hit = slim.join(first, "class", "left").checkpoint()
+    copies = near_copies(docs, hit.where("few and id <> first_id").select("id", "first_id").distinct().checkpoint(), id_col, text_col)
+    hit = hit.join(copies.withColumn("copy", F.lit(True)), ["id", "first_id"], "left")
+    gone = F.col("first_id").isNotNull() & ~((F.col("id") == F.col("first_id")) & (F.col("pos") == F.col("first_pos"))) & ~(F.col("few") & F.col("copy").isNotNull())
     return hit.groupBy("id").agg(F.array_distinct(F.collect_list(F.when(gone, F.col("pos")))).alias("gone"), F.count_if("near").alias("n_near")).where((F.size("gone") > 0) | (F.col("n_near") > 0))
 
 

@@ -175,9 +175,13 @@ with recursive o as (
 ), e as (select x, y from l union select y, x from l),
 r(x, z) as (select x, y from e union select r.x, e.y from r join e on e.x = r.z),
 c as (select x as line, least(x, min(z)) as root from r group by x),
-k as (select o.id, o.pos, coalesce(c.root, o.line) as root, c.line is not null as near, o.line from o left join c using (line) where length(o.line) >= {line_dedup.MIN_CHARS}),
-f as (select root, count(distinct id) as docs, min((id, pos)) as first from k group by root),
-g as (select distinct k.id, k.pos from k join f using (root) where f.docs > {line_dedup.MAX_DOCS} and (k.id, k.pos) <> f.first),
+k as (select o.id, o.pos, coalesce(c.root, o.line) as root, c.line is not null as near, o.line, len(string_split_regex(o.line, '[ \\t\\r\\n]+')) >= {line_dedup.PASSAGE_WORDS} as passage from o left join c using (line) where length(o.line) >= {line_dedup.MIN_CHARS}),
+f as (select root, count(distinct id) as docs, min((id, pos)) as first, min(id) as first_id, bool_or(passage) as passage from k group by root),
+q as (select distinct k.id, f.first_id from k join f using (root) where f.passage and f.docs between 2 and {line_dedup.MAX_DOCS} and k.id <> f.first_id),
+s as (select doc_id as id, string_split_regex(max(text), '[ \\t\\r\\n]+') as w from documents where doc_id in (select id from q union select first_id from q) group by doc_id),
+v as (select id, list_distinct(list_transform(range(1, greatest(len(w) - {line_dedup.WINDOW - 1}, 1) + 1), lambda i: w[i:i + {line_dedup.WINDOW - 1}])) as w from s),
+y as (select q.id, q.first_id from q join v a on a.id = q.id join v b on b.id = q.first_id where len(list_intersect(a.w, b.w)) >= {line_dedup.SIMILAR} * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+g as (select distinct k.id, k.pos from k join f using (root) where (k.id, k.pos) <> f.first and (f.docs > {line_dedup.MAX_DOCS} or (f.passage and f.docs > 1 and not exists (select 1 from y where y.id = k.id and y.first_id = f.first_id)))),
 w as (select o.id, o.pos, o.line, length(o.line) < {line_dedup.MIN_CHARS} or row_number() over (partition by o.id, o.line order by o.pos) = 1 as stays from o anti join g on o.id = g.id and o.pos = g.pos),
 t as (select id, count(*) as n_kept, string_agg(line, chr(10) order by pos) as text from w where stays group by id)
 select doc_id, coalesce(len(string_split(text_in, chr(10))), 0)::bigint as n_lines, coalesce(n_kept, 0)::bigint as n_kept, coalesce(n_near, 0)::bigint as n_near, sha256(coalesce(out_text, '')) as text_sha256

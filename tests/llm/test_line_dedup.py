@@ -1,6 +1,7 @@
 """Line dedup against brute force."""
 
 import random
+import re
 
 import pytest
 
@@ -103,3 +104,42 @@ def test_names_and_ids_of_any_kind(spark):
     assert out.columns == docs.columns
     assert sorted(r.text.count(common) for r in out.collect()) == [0] * 8 + [1]
     assert {r.doc_id for r in out.collect()} == {r[0] for r in rows}
+
+
+def test_passages(spark):
+    r = random.Random(5)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage, other, short = say(60), say(50), say(49)
+    near = passage[:-1] + "z"
+    whole = "\n".join([say(55), passage, say(40), say(40)])
+    # 2 is a near copy of 1 (one word changed) and is left whole; 3 to 5 only share lines with it.
+    copy = whole.replace(whole.split("\n")[2], whole.split("\n")[2].replace(whole.split("\n")[2].split(" ")[3], "zzzzz"))
+    own = {i: say(70) for i in range(3, 8)}
+    rows = [(1, whole), (2, copy), (3, f"{own[3]}\n{passage}"), (4, f"{near}\n{own[4]}"), (5, f"{own[5]}\n{other}\n{short}"), (6, f"{other}\n{own[6]}\n{short}\n{other}"), (7, f"{own[7]}\n{other[:-5]}")]
+    rows += [(None, f"{own[7]}\n{passage}"), (3, ""), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(i, t) for i, t in L.deduplicate(docs).collect()}
+    want = {(1, whole), (2, copy), (3, own[3]), (3, ""), (4, own[4]), (5, rows[4][1]), (6, f"{own[6]}\n{short}"), rows[6], rows[7], (8, None), (9, "")}
+    assert got == want
+
+
+def test_near_copies_against_brute_force(spark):
+    r = random.Random(9)
+    base = [[str(r.randrange(300)) for _ in range(r.choice([3, 5, 60, 200]))] for _ in range(6)]
+    texts = []
+    for i in range(40):
+        w = list(base[i % 6])
+        for _ in range(r.randrange(6)):
+            w[r.randrange(len(w))] = "x"
+        texts.append(r.choice([" ", "\n", " \t\n"]).join(w))
+    texts += ["", ""]
+
+    def windows(t):
+        w = re.split("[ \t\r\n]+", t)
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+    sets = [windows(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = set(map(tuple, L.near_copies(docs, spark.createDataFrame(pairs, "id long, first_id long")).collect()))
+    assert got == {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} and got
