@@ -224,8 +224,6 @@ def near_copies(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_
     some = plain.join(slim.buckets(wanted, "b", F.xxhash64("id")), slim.bucket(F.xxhash64(plain["id"])) == F.col("b"), "left_semi")
     texts = some.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     sets = texts.select("id", _windows(F.col("text")).alias("w")).withColumn("n", F.size("w")).checkpoint()
-    del some, texts
-    release(docs.sparkSession)  # the files of the texts' shuffle
     mine = sets.select("id", F.col("n").alias("mine"))
     theirs = sets.select(F.col("id").alias("first_id"), F.col("n").alias("theirs"))
     # Sets of too different sizes cannot agree enough, and are not sent anywhere.
@@ -241,8 +239,6 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     table = indexed(_long_lines(docs, id_col, text_col)).checkpoint()
     roots = components(links(docs, table, id_col, text_col), "a", "b")
     classes = roots.select(F.col("node").alias("h"), "root").unionByName(roots.select(F.col("root").alias("h"), "root").distinct()).checkpoint()
-    del roots
-    release(docs.sparkSession)  # what the rounds of links and components wrote
     spots = table.select("id", "pos", "h", "passage")
     # Only lines that occur often enough, or have a near line, can be in a class of so many documents.
     often = spots.groupBy("h").agg(F.count("*").alias("n"), F.bool_or("passage").alias("passage")).where((F.col("n") > max_docs) | (F.col("passage") & (F.col("n") > 1))).select("h")
