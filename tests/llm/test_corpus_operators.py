@@ -134,6 +134,38 @@ def test_embeddings_in_many_blocks(spark, monkeypatch):
     assert [got[v] for v, _, _ in rows] == brute_links(rows)
 
 
+def test_embeddings_in_many_files(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(embedding_dedup, "FILE_BLOCKS", 2)
+    monkeypatch.setattr(embedding_dedup, "CELLS", 40)
+    monkeypatch.setattr(embedding_dedup, "SMALL", 6)
+    r = np.random.default_rng(11)
+    base = r.normal(size=(4, 6))
+    rows = [(i, (base[i % 4] + r.normal(size=6) * r.choice([0.01, 0.06, 0.12])).tolist(), "xyz"[i % 9 % 3]) for i in range(240)] + [(300 + i, r.normal(size=4).tolist(), "x") for i in range(20)]
+    rows += [(400 + i, rows[0][1], "x") for i in range(30)] + [(500 + i, [1.0, 0.001 * i], f"own{i // 3}") for i in range(60)]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(3)).collect()}
+    assert [got[v] for v, _, _ in rows] == brute_links(rows)
+
+
+def test_embeddings_are_not_copied_by_visit(spark):
+    r = np.random.default_rng(12)
+    x = r.normal(size=(4000, 64)).astype(np.float32)
+    x[1::50] = x[::50] + 0.01
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {(stages.apply(n).stageId(), stages.apply(n).attemptId()): stages.apply(n).shuffleWriteBytes() for n in range(stages.size())}
+
+    before = shuffled()
+    got = embedding_dedup.link(frame).collect()
+    assert sum(x.n_links for x in got) == 160
+    after = shuffled()
+    written = sum(v for k, v in after.items() if k not in before)
+    assert 0 < written < 4 * x.nbytes
+
+
 def test_multi_sequence_visits():
     r = np.random.default_rng(5)
     for _ in range(200):
