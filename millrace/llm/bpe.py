@@ -20,9 +20,9 @@ result; columns other than the id and the text are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -36,7 +36,7 @@ from millrace.llm.ship import ship, tidy
 
 #: Fixed value: the published pre-tokenization pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of words and encodings that a worker remembers, each counted with ``ENTRY`` bytes more; the memo is emptied when full.
+#: Bytes of words and encodings that a task remembers, each counted with ``ENTRY`` bytes more; the memo is emptied when full.
 MEMO_BYTES = 64 << 20
 ENTRY = 180
 #: Texts of about so many characters are pre-tokenized together.
@@ -129,10 +129,10 @@ class Encoder:
             self.held, new = 0, words
         find, longest = self.vocab.ids.get, self.vocab.longest
         known, ask = self.vocab.allowed.get, self.vocab.may_follow
-        coded = sorted((w.encode("utf-8"), w) for w in new)
         before = b""
         state: list[tuple[int, int]] = [(-1, 0)]  # for each prefix: its last token and where that token starts
-        for raw, word in coded:
+        for word in sorted(new):  # the order of code points is the order of their UTF-8
+            raw = word.encode("utf-8")
             shared, top = 0, min(len(raw), len(before))
             while shared < top and raw[shared] == before[shared]:
                 shared += 1
@@ -159,7 +159,7 @@ class Encoder:
             while end:
                 token, end = state[end]
                 out.append(token)
-            self.memo[word] = np.array(out[::-1], dtype="<u4").tobytes()
+            self.memo[word] = struct.pack(f"<{len(out)}I", *out[::-1])
             self.held += ENTRY + len(raw) + 4 * len(out)
             before = raw
 
@@ -195,12 +195,6 @@ class Encoder:
         return b"".join([table[i] for i in np.frombuffer(packed, dtype="<u4").tolist()]).decode("utf-8", errors="replace")
 
 
-@functools.lru_cache(maxsize=1)
-def encoder_of(definition: str) -> Encoder:
-    """The worker's encoder: its memo lives on from task to task."""
-    return Encoder(definition)
-
-
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, and with ``with_ids`` also ``ids`` and ``decoded``."""
     spark = docs.sparkSession
@@ -211,7 +205,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(definition.value)
+        encoder = Encoder(definition.value)
         for texts in batches:
             rows = []
             for packed in encoder.encode_many(list(texts)):
@@ -219,6 +213,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 row = (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest())
                 rows.append((*row, np.frombuffer(packed, dtype="<i4"), decoded) if with_ids else row)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])])
+        # Workers outlive their task and wait beside those that run: none keeps a vocabulary and a memo.
+        encoder = None
         tidy()
 
     return docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("r")).select("doc_id", "r.*")

@@ -266,6 +266,8 @@ def _past_hub(pairs: DataFrame, words: DataFrame, schema: str, look: Callable[[S
                 else:
                     hub = text
             yield pd.DataFrame(out, columns=["hub", "node", *[x.split()[0] for x in schema.split(", ")]])
+        hub = text = None
+        tidy()
 
     return members.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", "member").mapInPandas(run, f"hub long, node long, {schema}")
 

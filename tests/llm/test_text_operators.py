@@ -69,6 +69,19 @@ def test_bpe_rows(spark):
     assert bpe.encode_decode(docs.limit(0), path).count() == 0
 
 
+def test_bpe_workers_keep_no_encoder(spark):
+    docs = spark.range(8).selectExpr("id as doc_id", "'some text' as text").repartition(8)
+    bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+
+    def held(batches):
+        import gc
+
+        for b in batches:  # one row: 8 tasks in the same workers
+            yield b.assign(text=str(sum(isinstance(x, (bpe.Encoder, bpe.Vocabulary)) for x in gc.get_objects())))
+
+    assert {r.text for r in docs.mapInPandas(held, "doc_id long, text string").collect()} == {"0"}
+
+
 def test_memo_limits_do_not_change_results(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = [f"word{i} other{i % 7} é{i}" for i in range(300)]
