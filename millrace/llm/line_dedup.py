@@ -55,6 +55,8 @@ WINDOW = 5
 SIMILAR = 0.8
 NARROW = 4
 SHORT = 3
+#: At least ``PASSAGE_WORDS`` words: one more than the gaps between them.  Counted without making the words, and only as far as that.
+_PASSAGE = rf"^[^ \t\r\n]*+(?:[ \t\r\n]++[^ \t\r\n]++){{{PASSAGE_WORDS - 2}}}[ \t\r\n]"
 
 
 def _lines(text: Column) -> Column:
@@ -131,7 +133,7 @@ def indexed(lines: DataFrame) -> DataFrame:
 
     own = [key(m, 0), key(m, 1)]
     probe = [F.when(even, key(m - 1, s)) for s in (0, 1)]
-    passage = F.size(_words(F.col("line"))) >= PASSAGE_WORDS
+    passage = F.col("line").rlike(_PASSAGE)
     return lines.select("id", "pos", "h", m.alias("m"), passage.alias("passage"), F.array(*own, *probe).alias("keys"))
 
 
@@ -212,9 +214,10 @@ def links(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: s
 
 def _windows(text: Column) -> Column:
     """The distinct hashes of a text's windows of ``WINDOW`` words; a shorter text is one window."""
-    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (WINDOW - 1), F.lit(1)))
-    every = lambda w: F.array_distinct(F.transform(starts(w), lambda i: F.xxhash64(F.slice(w, i, WINDOW))))
-    return F.get(F.transform(F.array(F.transform(_words(text), lambda x: F.xxhash64(x))), every), F.lit(0))
+    # What lies beyond a text's end is null, which a hash skips.
+    window = lambda w: lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WINDOW)])
+    every = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(1))), window(w))
+    return F.array_distinct(F.get(F.transform(F.array(F.transform(_words(text), lambda x: F.xxhash64(x))), every), F.lit(0)))
 
 
 def near_copies(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,7 +258,9 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, report: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with the text thinned; ``report`` adds ``n_lines``, ``n_kept``, ``n_near``."""
     mine, gone, near, taken = (slim.free(n, docs.columns) for n in ("line_id", "line_gone", "line_near", "line_bucket"))
-    marks = dropped(docs, id_col, text_col, max_docs).select(F.col("id").alias(mine), F.col("gone").alias(gone), F.col("n_near").alias(near)).checkpoint()
+    marks = dropped(docs, id_col, text_col, max_docs).select(F.col("id").alias(mine), F.col("gone").alias(gone), F.col("n_near").alias(near))
+    # Without a report only documents that lose a line matter.
+    marks = (marks if report else marks.where(F.size(gone) > 0)).checkpoint()
     # Documents whose bucket has no mark are not shuffled.
     touched = slim.buckets(marks, taken, F.xxhash64(mine))
     sided = docs.join(touched, slim.bucket(F.xxhash64(docs[id_col])) == F.col(taken), "left")
@@ -267,16 +272,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _thinned(joined: DataFrame, columns: list[str], text_col: str, gone: str, near: str, report: bool) -> DataFrame:
-    # Named before any column of that name is made anew: inside a lambda Spark would prefer the new one.
-    text = joined[text_col]
-    lines = _lines(text)
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(gone, F.array().cast("array<int>")))
-    # The array of lines is handed to the inner function as a value, or it would be split anew for every place.
-    left = F.get(F.transform(F.array(lines), lambda every: F.transform(places, lambda i: F.get(every, i))), F.lit(0))
+    # One step, one column: what several later ones read (the lines, what is left of them) is made once for each document.
+    every, left, kept = (slim.free(n, joined.columns) for n in ("line_every", "line_left", "line_kept"))
+    now = joined.withColumn(every, _lines(F.col(text_col)))
+    some = F.size(gone) > 0
+    places = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(gone))
+    now = now.withColumn(left, F.when(some, F.transform(places, lambda i: F.get(every, i))).otherwise(F.col(every)))
+    long = F.filter(F.col(left), lambda x: F.length(x) >= MIN_CHARS)
+    again = F.size(long) > F.size(F.array_distinct(long))
     # Short lines are told apart by their place, so that only long ones collapse.
     tagged = F.array_distinct(F.transform(left, lambda x, i: F.when(F.length(x) < MIN_CHARS, F.concat(i.cast("string"), F.lit(":"), x)).otherwise(F.concat(F.lit(":"), x))))
-    kept = F.transform(tagged, lambda x: F.substring(x, F.locate(":", x) + 1, F.length(x)))
-    thinned = F.when(text.isNotNull(), F.array_join(kept, "\n"))
-    cols = [thinned.alias(c) if c == text_col else joined[c] for c in columns]
-    extra = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(kept), F.lit(0)).cast("long").alias("n_kept"), F.coalesce(near, F.lit(0)).cast("long").alias("n_near")] if report else []
-    return joined.select(*cols, *extra)
+    now = now.withColumn(kept, F.when(again, F.transform(tagged, lambda x: F.substring(x, F.locate(":", x) + 1, F.length(x)))).otherwise(F.col(left)))
+    same = F.size(kept) == F.size(every)  # a text that loses no line stays as it is
+    thinned = F.when(same, now[text_col]).otherwise(F.array_join(kept, "\n"))
+    cols = [thinned.alias(c) if c == text_col else now[c] for c in columns]
+    extra = [F.greatest(F.size(every), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.size(kept), F.lit(0)).cast("long").alias("n_kept"), F.coalesce(near, F.lit(0)).cast("long").alias("n_near")] if report else []
+    return now.select(*cols, *extra)

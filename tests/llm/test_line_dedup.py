@@ -143,3 +143,19 @@ def test_near_copies_against_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = set(map(tuple, L.near_copies(docs, spark.createDataFrame(pairs, "id long, first_id long")).collect()))
     assert got == {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} and got
+
+
+def test_texts_are_split_once(spark):
+    docs = spark.createDataFrame([(i, f"a line that is in every document\nown line number {i}") for i in range(9)], "doc_id long, text string")
+    plan = L.deduplicate(docs, report=True)._jdf.queryExecution().optimizedPlan().toString()
+    # Once for the documents with marks, once for those without, however many columns are made of the lines.
+    assert len(re.findall(r"split\(text", plan)) == 2
+
+
+def test_passage_pattern(spark):
+    r = random.Random(3)
+    lines = ["".join(r.choice(["", " ", "\t\r "]) for _ in range(1)) + "".join(r.choice("ab,") * r.randrange(1, 4) + r.choice([" ", "\t", " \r", "  "]) for _ in range(n)) + r.choice(["", "z"]) for n in range(30, 60) for _ in range(8)]
+    lines += ["", " ", "x" * 500, " " * 500, " ".join("x" * 60)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "id long, line string").selectExpr("id", "0 as pos", "line", "xxhash64(line) as h")
+    got = {x.id: x.passage for x in L.indexed(docs).collect()}
+    assert got == {i: len(re.split("[ \t\r\n]+", s)) >= L.PASSAGE_WORDS for i, s in enumerate(lines)} and 8 < sum(got.values()) < len(lines)
