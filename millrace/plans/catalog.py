@@ -534,33 +534,36 @@ def nested_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- graphs of rows ----------------------------------------------------------
 
 
-def foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges (caller, callee): lineitem -> orders -> customer -> nation -> region; lines that agree in order and number are one."""
+def foreign_keys(spark: SparkSession, sf_dir: str) -> dict[tuple[str, str], DataFrame]:
+    """Edges (caller, callee) by kinds: lineitem -> orders -> customer -> nation -> region; lines that agree in order and number are one."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    edge = lambda df, a, ka, b, kb: df.select(F.concat(F.lit(a), F.col(ka).cast("string")).alias("caller"), F.concat(F.lit(b), F.col(kb).cast("string")).alias("callee"))
-    lines = t("lineitem").select("l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line")).distinct()
-    parts = [(lines, "l", "line", "o", "l_orderkey"), (t("orders"), "o", "o_orderkey", "c", "o_custkey"), (t("customer"), "c", "c_custkey", "n", "c_nationkey"), (t("nation"), "n", "n_nationkey", "r", "n_regionkey")]
-    return functools.reduce(DataFrame.unionByName, [edge(*p) for p in parts])
+    edge = lambda df, a, ka, b, kb: df.select(F.concat(F.lit(a), ka.cast("string")).alias("caller"), F.concat(F.lit(b), F.col(kb).cast("string")).alias("callee"))
+    lines = t("lineitem").select("l_orderkey", "l_linenumber").distinct()
+    parts = [(lines, "l", F.concat_ws("-", "l_orderkey", "l_linenumber"), "o", "l_orderkey"), (t("orders"), "o", F.col("o_orderkey"), "c", "o_custkey"), (t("customer"), "c", F.col("c_custkey"), "n", "c_nationkey"), (t("nation"), "n", F.col("n_nationkey"), "r", "n_regionkey")]
+    return {(p[1], p[3]): edge(*p) for p in parts}
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"n": spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))}
 
 
 def dirty_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = graph_frames.dirty_closure(foreign_keys(spark, sf_dir), spark.createDataFrame([("r2",)], "id string"))
+    marks = graph_frames.dirty_closure(foreign_keys(spark, sf_dir), {"r": spark.createDataFrame([("r2",)], "id string")})
     return marks.groupBy("step").agg(F.count("*").alias("n_edges"), F.count_distinct("callee").alias("n_callees"))
 
 
 def firewall_boundary_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walls = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
-    return graph_frames.dirty_closure(foreign_keys(spark, sf_dir), spark.createDataFrame([("r2",)], "id string"), walls).select("caller", "callee", "step")
+    marks = graph_frames.dirty_closure(foreign_keys(spark, sf_dir), {"r": spark.createDataFrame([("r2",)], "id string")}, _nations(spark, sf_dir))
+    return marks.select("caller", "callee", "step")
 
 
 def tfc_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walls = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
-    return graph_frames.firewall_sets(foreign_keys(spark, sf_dir), walls).groupBy("firewall").agg(F.count("*").alias("n_callers"))
+    return graph_frames.firewall_sets(foreign_keys(spark, sf_dir), _nations(spark, sf_dir)).groupBy("firewall").agg(F.count("*").alias("n_callers"))
 
 
 def graph_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'").select(F.concat(F.lit("l"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("id"))
-    return graph_frames.breadth_first(foreign_keys(spark, sf_dir), roots).groupBy("depth").agg(F.count("*").alias("n_nodes"))
+    return graph_frames.breadth_first(foreign_keys(spark, sf_dir), {"l": roots}).groupBy("depth").agg(F.count("*").alias("n_nodes"))
 
 
 def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:

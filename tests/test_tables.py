@@ -159,6 +159,43 @@ def test_graph_joins(spark):
     assert dict(map(tuple, graph_frames.breadth_first(edges, one("y")).collect())) == {"y": 0, "x": 1, "b": 2, "c": 3, "a": 4, "d": 4}
 
 
+def test_graph_joins_by_kinds(spark):
+    """A table of edges is read once, in the step that meets its kind, and others never; results are those of the graph without kinds."""
+    rows = {
+        ("l", "o"): [("l1", "o1"), ("l2", "o1"), ("l3", "o2"), ("l4", None)],
+        ("o", "c"): [("o1", "c1"), ("o2", "c2"), ("o2", "c2")],
+        ("o", "n"): [("o2", "n1")],
+        ("c", "n"): [("c1", "n1"), ("c2", "n2")],
+        ("n", "o"): [("n2", "o1")],
+        ("x", "y"): [("x1", "y1")],
+    }
+    schema = "caller string, callee string"
+    read = {k: spark.sparkContext.accumulator(0) for k in rows}
+
+    def counted(k):
+        count = read[k]
+
+        def look(row):
+            count.add(1)
+            return row
+
+        return spark.createDataFrame(spark.sparkContext.parallelize(rows[k], 1).map(look), schema)
+
+    kinds, plain = {k: counted(k) for k in rows}, spark.createDataFrame([e for r in rows.values() for e in r], schema)
+    one = lambda *v: spark.createDataFrame([(x,) for x in v], "id string")
+    got = lambda df: sorted(map(str, df.collect()))
+    down = graph_frames.breadth_first({k: v for k, v in kinds.items() if k != ("n", "o")}, {"l": one("l1", "l3", "l3")})
+    assert sorted(map(tuple, down.collect())) == [("c1", 2), ("c2", 2), ("l1", 0), ("l3", 0), ("n1", 2), ("n2", 3), ("o1", 1), ("o2", 1)]
+    assert {k: a.value for k, a in read.items()} == {("l", "o"): 4, ("o", "c"): 3, ("o", "n"): 1, ("c", "n"): 2, ("n", "o"): 0, ("x", "y"): 0}
+    assert got(graph_frames.breadth_first(kinds, {"l": one("l1", "l3"), "x": one("x1")})) == got(graph_frames.breadth_first(plain, one("l1", "l3", "x1")))
+    assert got(graph_frames.dirty_closure(kinds, {"n": one("n2")})) == got(graph_frames.dirty_closure(plain, one("n2")))
+    assert got(graph_frames.dirty_closure(kinds, {"n": one("n2")}, {"o": one("o2")})) == got(graph_frames.dirty_closure(plain, one("n2"), one("o2")))
+    assert got(graph_frames.firewall_sets(kinds, {"c": one("c1"), "n": one("n1")})) == got(graph_frames.firewall_sets(plain, one("c1", "n1")))
+    assert got(graph_frames.dirty_closure(kinds, {"z": one("z1")})) == got(graph_frames.firewall_sets(kinds, {"z": one("z1")})) == []
+    with pytest.raises(TypeError):
+        graph_frames.breadth_first(kinds, one("l1"))
+
+
 def test_stream_batches_are_folded_once(spark, engine):
     fold = lambda old, batch: batch if old is None else old.unionByName(batch)
     handle = bridge.into_sessions(engine, Rows("s"), fold, "s")
